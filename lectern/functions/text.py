@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern import lexicon as lx
 from lectern.functions import patterns as pt
+from lectern.functions.binding import indexes, let
 from lectern.lexicon import Lexicon, RUSSIAN
 
 BLANKS = " \n\t\r"
@@ -73,8 +74,13 @@ def unique_by(values: Column, key, limit: int | None = None) -> Column:
     cleaned = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: strip(F.coalesce(v, F.lit(""))))
     pairs = F.transform(cleaned, lambda v: F.struct(v.alias("v"), key(v).alias("k")))
     pairs = F.filter(pairs, lambda p: (p["v"] != "") & (p["k"] != ""))
-    firsts = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == i + 1)
-    out = F.transform(firsts, lambda p: p["v"])
+
+    def firsts(ps):
+        keys = F.transform(ps, lambda q: q["k"])
+        kept = let(keys, lambda ks: F.filter(ps, lambda p, i: F.array_position(ks, p["k"]) == i + 1))
+        return F.transform(kept, lambda p: p["v"])
+
+    out = let(pairs, firsts)
     return F.slice(out, 1, limit) if limit is not None else out
 
 
@@ -153,14 +159,6 @@ def chunk_texts(c: Column, separator: str = r"\n\s*\n", target: int = 1200, over
 
 
 # ---- excerpts -------------------------------------------------------------
-def _window(compact: Column, start: Column, end: Column) -> Column:
-    """Cut [start, end) widened to whole words, with ellipses where text is left out."""
-    back = F.instr(F.reverse(F.substring(compact, F.lit(1), start)), " ")
-    start = F.when((start > 0) & (back > 0), start - back + 1).otherwise(start)
-    ahead = F.locate_from(compact, end) if hasattr(F, "locate_from") else F.expr("0")
-    return start, end, ahead
-
-
 def excerpt(compact: Column, start: Column, end: Column) -> Column:
     """Cut [start, end) of a text widened to whole words, with ellipses where text is left out."""
     size = F.length(compact)
@@ -180,66 +178,83 @@ def head_excerpt(compact: Column, length: int) -> Column:
 
 
 def _first_hit(lowered: Column, terms: Column) -> Column:
-    return F.get(F.filter(terms, lambda t: F.contains(lowered, t)), F.lit(0))
+    return let(lowered, lambda low: F.get(F.filter(terms, lambda t: F.contains(low, t)), F.lit(0)))
 
 
 def snippet(text: Column, query: Column, max_len: int = 280) -> Column:
     """The neighbourhood of the first query word found, else the beginning of the text."""
-    compact = squeeze(F.coalesce(text, F.lit("")))
-    lowered = fold(compact)
-    terms = F.filter(raw_words(fold(query)), lambda t: F.length(t) > 1)
-    hit = _first_hit(lowered, terms)
-    pos = F.instr(lowered, hit) - 1
     third = max_len // 3
-    start = F.greatest(F.lit(0), pos - third)
-    end = F.least(F.length(compact), pos + F.length(hit) + (max_len - third))
-    return F.when(hit.isNull(), head_excerpt(compact, max_len)).otherwise(excerpt(compact, start, end))
+    terms = F.filter(raw_words(fold(query)), lambda t: F.length(t) > 1)
+
+    def cut(compact, lowered, hit):
+        pos = F.instr(lowered, hit) - 1
+        start = F.greatest(F.lit(0), pos - third)
+        end = F.least(F.length(compact), pos + F.length(hit) + (max_len - third))
+        return F.when(hit.isNull(), head_excerpt(compact, max_len)).otherwise(excerpt(compact, start, end))
+
+    return let(
+        squeeze(F.coalesce(text, F.lit(""))),
+        lambda c: let(fold(c), lambda low: let(_first_hit(low, terms), lambda hit: cut(c, low, hit))),
+    )
 
 
 def preview(text: Column, query: Column | None = None, lex: Lexicon = RUSSIAN) -> Column:
     """340 leading characters, or the neighbourhood of the first query token found."""
     compact = squeeze(F.coalesce(text, F.lit("")))
-    head = head_excerpt(compact, 340)
     if query is None:
-        return head
-    lowered = fold(compact)
-    pos = F.instr(lowered, _first_hit(lowered, tokens(query, lex))) - 1
-    start = F.greatest(F.lit(0), pos - 120)
-    end = F.least(F.length(compact), pos + 220)
-    return F.when(pos.isNull(), head).otherwise(excerpt(compact, start, end))
+        return head_excerpt(compact, 340)
+
+    def cut(c, lowered):
+        pos = F.instr(lowered, _first_hit(lowered, tokens(query, lex))) - 1
+        start = F.greatest(F.lit(0), pos - 120)
+        end = F.least(F.length(c), pos + 220)
+        return F.when(pos.isNull(), head_excerpt(c, 340)).otherwise(excerpt(c, start, end))
+
+    return let(compact, lambda c: let(fold(c), lambda low: cut(c, low)))
 
 
 # ---- overlap of a text with a query ---------------------------------------
 def run_lengths(values: Column) -> Column:
     """Distinct values of an array with their counts, computed inside the row: array<struct<term,tf>>."""
-    ordered = F.array_sort(values)
-    at = F.when(F.size(ordered) > 0, F.sequence(F.lit(1), F.size(ordered))).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(at, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-    return F.transform(
-        starts,
-        lambda p, i: F.struct(
-            F.get(ordered, p - 1).alias("term"),
-            (F.coalesce(F.get(starts, i + 1), F.size(ordered) + 1) - p).cast("int").alias("tf"),
-        ),
-    )
+
+    def runs(ordered):
+        at = F.filter(indexes(F.size(ordered)), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+        def counted(starts):
+            return F.transform(
+                starts,
+                lambda p, i: F.struct(
+                    F.get(ordered, p).alias("term"),
+                    (F.coalesce(F.get(starts, i + 1), F.size(ordered)) - p).alias("tf"),
+                ),
+            )
+
+        return let(at, counted)
+
+    return let(F.array_sort(values), runs)
 
 
 def token_coverage(text_tokens: Column, query_tokens: Column) -> Column:
     """struct<coverage, occurrences, density> of a token list against a query."""
-    wanted = F.array_distinct(query_tokens)
-    hits = F.size(F.filter(text_tokens, lambda t: F.array_contains(query_tokens, t)))
-    found = F.size(F.array_intersect(wanted, text_tokens))
-    some = (F.size(wanted) > 0) & (F.size(text_tokens) > 0)
-    return F.struct(
-        F.when(some, found / F.size(wanted)).otherwise(0.0).alias("coverage"),
-        F.when(some, hits).otherwise(0).alias("occurrences"),
-        F.when(some, hits / F.size(text_tokens)).otherwise(0.0).alias("density"),
-    )
+
+    def measure(text, query):
+        wanted = F.size(F.array_distinct(query))
+        hits = F.size(F.filter(text, lambda t: F.array_contains(query, t)))
+        found = F.size(F.array_intersect(query, text))
+        some = (F.size(query) > 0) & (F.size(text) > 0)
+        return F.struct(
+            F.when(some, found / wanted).otherwise(0.0).alias("coverage"),
+            F.when(some, hits).otherwise(0).alias("occurrences"),
+            F.when(some, hits / F.size(text)).otherwise(0.0).alias("density"),
+        )
+
+    return let(text_tokens, lambda text: let(query_tokens, lambda query: measure(text, query)))
 
 
 def overlap_score(text_tokens: Column, query_tokens: Column) -> Column:
-    c = token_coverage(text_tokens, query_tokens)
-    return c["coverage"] + F.least(F.lit(0.25), c["density"] * 3.5)
+    return let(
+        token_coverage(text_tokens, query_tokens), lambda c: c["coverage"] + F.least(F.lit(0.25), c["density"] * 3.5)
+    )
 
 
 def phrase_bonus(text: Column, text_key: Column, query: Column, query_key: Column) -> Column:
@@ -324,7 +339,7 @@ def storage_name(name: Column, max_length: int = 180) -> Column:
     ext = F.regexp_extract(safe, r".(\.[^.]*)$", 1)
     base = F.substring(safe, F.lit(1), F.length(safe) - F.length(ext))
     keep = F.lit(max_length) - F.length(ext)
-    base = F.when(F.length(base) > keep, F.rtrim(F.left(base, keep), F.lit(" ._"))).otherwise(base) if False else F.when(
+    base = F.when(
         F.length(base) > keep, F.regexp_replace(F.substring(base, F.lit(1), keep), r"[ ._]+$", "")
     ).otherwise(base)
     return F.concat(F.when(base == "", "book").otherwise(base), ext)
@@ -343,7 +358,7 @@ def slug_text(c: Column) -> Column:
     for latin, letter in lx.SLUG_PAIRS:
         c = F.replace(c, F.lit(latin), F.lit(letter))
     for latin, letters in lx.SLUG_ENDINGS:
-        c = F.regexp_replace(c, rf"{latin}\b", letters)
+        c = F.regexp_replace(c, rf"{latin}(?![A-Za-z0-9_])", letters)
     singles = {k: v for k, v in lx.SLUG_LETTERS.items() if len(v) == 1}
     for latin, letters in lx.SLUG_LETTERS.items():
         if len(letters) > 1:

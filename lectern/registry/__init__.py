@@ -1,0 +1,15 @@
+"""Queries registered for the driver."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("search_terms",)
+
+
+def load():
+    from lectern.registry.base import ORACLES, QUERIES
+
+    for name in MODULES:
+        importlib.import_module(f"lectern.registry.{name}")
+    return dict(QUERIES), dict(ORACLES)

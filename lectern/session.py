@@ -48,8 +48,29 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the table is proven to hold at most `rows` rows; else leave it to the planner."""
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table holds at most `rows` rows; reads no more than that many."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def attach(big: DataFrame, side: DataFrame, on, how: str = "inner", bound: DataFrame | None = None,
+           rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a side that is expected to be small to a big table.
+
+    Row estimates behind explodes are unreliable, so the choice is made on a checked
+    row count: of the side itself, or of a cheaper table `bound` that has at least as
+    many rows. Within the limit the side is broadcast and the big table is not shuffled;
+    beyond it both are shuffled and AQE splits the partitions of hot keys.
+    """
+    if fits(side if bound is None else bound, rows):
+        return big.join(F.broadcast(side), on, how)
+    return big.join(side.hint("shuffle_hash"), on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan that is cut into fewer splits than there are cores one task per core.
+
+    A no-op for any input large enough to fill the cluster, so nothing big is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
