@@ -97,7 +97,7 @@ def bm25(query_table: str, name: str = "scores", text_col: str = "query") -> str
   FROM (SELECT term, count(*) AS df FROM posted GROUP BY term), {name}_n),
 {name} AS MATERIALIZED (
   SELECT query_id, chunk_id, book_id, position,
-    sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+    round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM posted JOIN {name}_q USING (term) JOIN {name}_idf USING (term), {name}_n GROUP BY ALL)"""
 
 
