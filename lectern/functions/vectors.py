@@ -12,6 +12,11 @@ def as_doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def settled(x: Column, places: int = 6) -> Column:
+    """Round in two steps, so that a tie at the last place does not depend on the last bit of the sum."""
+    return F.round(F.round(x, 10), places)
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(as_doubles(a), as_doubles(b), lambda x, y: F.coalesce(x * y, F.lit(0.0)))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from lectern.functions import text as tx
 from lectern.functions.binding import let
+from lectern.functions.vectors import settled
 from lectern.lexicon import ACTION_STRENGTH, ACTIONS, Lexicon, RUSSIAN
 from lectern.operators import features, titles
 from lectern.operators.terms import top_per
@@ -203,7 +204,7 @@ def scored(pairs: DataFrame) -> DataFrame:
     risk = pos * 0.26 + recent * 0.14 + luck * 0.36 - neg * 0.18 + session * 0.12 + author * 0.06 + genre * 0.08 - seen * 0.1
     same = pos * 0.58 + recent * 0.2 + session * 0.1 + author * 0.08 + genre * 0.1 - neg * 0.32 - seen
     score = F.when(c("mode") == "new", fresh).when(c("mode") == "risk", risk).otherwise(same)
-    return p.withColumn("profile_score", F.round(score, 6))
+    return p.withColumn("profile_score", settled(score))
 
 
 # ---- onboarding, defaults, summaries ------------------------------------------------

@@ -103,3 +103,8 @@ def bm25(query_table: str, name: str = "scores", text_col: str = "query") -> str
 
 BENCH = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 TURNS = "asked AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user')"
+
+
+def rnd(x: str, places: int = 6) -> str:
+    """Round by decimal digits, ties away from zero."""
+    return f"CAST(round(CAST({x} AS DECIMAL(28, 10)), {places}) AS DOUBLE)"
