@@ -61,6 +61,6 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").alias("book_id"),
         F.try_element_at(actions, F.col("event_type")).alias("action"),
         F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
-        F.col("ts").alias("created_at"),
+        F.col("ts").cast("timestamp").alias("created_at"),
         F.col("value"),
     )

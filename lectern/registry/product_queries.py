@@ -110,8 +110,8 @@ def list_ownership(spark, sf):
     return product.owned(asked, lists).select("ask_id")
 
 
-EVENTS = """re AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE WHEN o_orderkey % 3 = 0 THEN 'query' ELSE 'profile' END AS ctx, o_orderdate AS at FROM orders),
-rn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at DESC, id DESC) AS age FROM re),
+EVENTS = """re AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE WHEN o_orderkey % 3 = 0 THEN 'query' ELSE 'profile' END AS ctx, o_orderdate AS made FROM orders),
+rn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY made DESC, id DESC) AS age FROM re),
 it AS (SELECT age, user_id, ctx, l_partkey AS book, l_linenumber AS pos, l_extendedprice AS score FROM rn JOIN lineitem ON l_orderkey = id WHERE age <= 5)"""
 
 
@@ -121,7 +121,7 @@ def rec_events(spark, sf):
         lambda x: F.struct(x["book"].cast("string").alias("book_id"), F.lit(None).cast("string").alias("recommendation_context"), x["score"].alias("score"))).alias("items"))
     o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
                                             F.when(F.col("o_orderkey") % 3 == 0, "query").otherwise("profile").alias("recommendation_context"), F.col("o_orderdate").alias("created_at"))
-    return o.join(items, "id")
+    return o.join(items, "id", "left")
 
 
 @query("explanation_lookup", f"""WITH {EVENTS}, a AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS book FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1)
@@ -149,7 +149,7 @@ def ingest_dedupe_hash(spark, sf):
 @query("retry_backoff", """SELECT event_id, n AS retry_count, CASE WHEN event_type <> 'error' AND n < 9 THEN 'queued' ELSE 'failed' END AS status,
 CASE WHEN event_type <> 'error' AND n < 9 THEN CAST(least(300, 5 * 2 ** (n - 1)) AS BIGINT) END AS wait_s FROM (SELECT *, event_id % 12 + 1 AS n FROM events)""")
 def retry_backoff(spark, sf):
-    ev = b.table(spark, sf, "events").select("event_id", (F.col("event_id") % 12).alias("retry_count"), (F.col("event_type") == "error").alias("terminal"), F.lit("x").alias("error"), "ts")
+    ev = b.table(spark, sf, "events").select("event_id", (F.col("event_id") % 12).alias("retry_count"), (F.col("event_type") == "error").alias("terminal"), F.lit("x").alias("error"), F.col("ts").cast("timestamp").alias("ts"))
     out = ingest.failed(ev, F.col("ts"), max_retries=9)
     return out.select("event_id", "retry_count", "status", F.round((F.unix_micros("next_attempt_at") - F.unix_micros("ts")) / 1000000).cast("long").alias("wait_s"))
 
