@@ -71,12 +71,13 @@ def taste_stream(events: DataFrame, books: DataFrame, size: int, user_type: str
 
 
 class SessionState(StatefulProcessor):
-    """Last action, book and time per (user, session); forgotten two hours after the last event."""
+    """Last action, book and time per (user, session); forgotten some time after the last event."""
 
-    TTL_MS = 7200 * 1000
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "action string, book_id string, at timestamp", self.TTL_MS)
+        self.last = handle.getValueState("last", "action string, book_id string, at timestamp", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["created_at", "id"])
@@ -91,10 +92,12 @@ class SessionState(StatefulProcessor):
         pass
 
 
-def session_stream(events: DataFrame, user_type: str = "long") -> DataFrame:
+def session_stream(events: DataFrame, user_type: str = "long", ttl_hours: float | None = 2) -> DataFrame:
+    """Live session state. A processing-time limit keeps the query polling, so a run that should end passes `ttl_hours=None`."""
+    ttl, mode = (int(ttl_hours * 3_600_000), "ProcessingTime") if ttl_hours else (None, "None")
     schema = f"user_id {user_type}, session_id string, last_action string, last_book_id string, updated_at timestamp"
     keyed = events.where("session_id <> ''").groupBy("user_id", "session_id")
-    return keyed.transformWithStateInPandas(SessionState(), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime")
+    return keyed.transformWithStateInPandas(SessionState(ttl), outputStructType=schema, outputMode="Update", timeMode=mode)
 
 
 def session_states(events: DataFrame) -> DataFrame:
