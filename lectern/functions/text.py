@@ -231,7 +231,7 @@ def run_lengths(values: Column) -> Column:
 
         return let(at, counted)
 
-    return let(F.array_sort(values), runs)
+    return let(F.sort_array(values), runs)
 
 
 def token_coverage(text_tokens: Column, query_tokens: Column) -> Column:

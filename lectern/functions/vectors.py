@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.binding import indexes, let
+from lectern.functions.text import run_lengths
 
 
 def as_doubles(v: Column) -> Column:
@@ -59,16 +60,19 @@ def hash_slots(tokens: Column, dim: int) -> Column:
     """Signed slots of unigrams and adjacent bigrams: array<struct<slot, value>>, two entries per feature."""
 
 
-    def entries(h):
-        sign = F.when(F.conv(F.substring(h, 17, 2), 16, 10).cast("int") % 2 == 1, -1.0).otherwise(1.0)
-        slot = lambda start: (F.conv(F.substring(h, start, 8), 16, 10).cast("long") % dim).cast("int")
-        return F.array(
-            F.struct(slot(1).alias("slot"), sign.alias("value")),
-            F.struct(slot(9).alias("slot"), (sign * 0.5).alias("value")),
-        )
+    def entries(term, tf):
+        def of(h):
+            sign = F.when(F.conv(F.substring(h, 17, 2), 16, 10).cast("int") % 2 == 1, -1.0).otherwise(1.0) * tf
+            slot = lambda start: (F.conv(F.substring(h, start, 8), 16, 10).cast("long") % dim).cast("int")
+            return F.array(
+                F.struct(slot(1).alias("slot"), sign.alias("value")),
+                F.struct(slot(9).alias("slot"), (sign * 0.5).alias("value")),
+            )
+
+        return let(F.sha1(term), of)
 
-    hashes = let(tokens, lambda t: F.transform(with_bigrams(t, "__"), F.sha1))
-    return F.flatten(F.transform(hashes, entries))
+    counted = run_lengths(with_bigrams(tokens, "__"))
+    return F.flatten(F.transform(counted, lambda p: entries(p["term"], p["tf"])))
 
 
 def hash_embedding(tokens: Column, dim: int = 384) -> Column:
@@ -76,7 +80,7 @@ def hash_embedding(tokens: Column, dim: int = 384) -> Column:
 
     The sums run inside the row over the slots in order, so no shuffle is needed.
     """
-    ordered = F.array_sort(hash_slots(tokens, dim))
+    ordered = F.sort_array(hash_slots(tokens, dim))
     zero = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("acc"), F.lit(0).alias("slot"))
 
     def step(acc, e):

@@ -144,7 +144,7 @@ def dominant(scores: Column, lex: Lexicon = RUSSIAN, threshold: float = 0.12, pe
                 F.struct((-F.get(v, F.lit(start + i))).alias("neg"), F.lit(i).alias("ord"), F.lit(category).alias("category"),
                          F.lit(feats[i]).alias("feature")) for i in range(size)
             ])
-            parts.append(F.slice(F.array_sort(F.filter(rows, lambda r: -r["neg"] >= threshold)), 1, per_category))
+            parts.append(F.slice(F.sort_array(F.filter(rows, lambda r: -r["neg"] >= threshold)), 1, per_category))
         return F.flatten(F.array(*parts))
 
     return F.transform(
@@ -202,7 +202,7 @@ def ranked_labels(tokens: Column, table: dict[str, tuple[str, ...]], units: list
                 score = F.get(scores, F.lit(i))
                 ok = passes(rules, label, matched_units(t, units, label), score)
                 rows.append(F.when(ok, F.struct((-score).alias("neg"), F.lit(i).alias("ord"), F.lit(label).alias("label"))))
-            return F.slice(F.array_sort(F.array_compact(F.array(*rows))), 1, limit)
+            return F.slice(F.sort_array(F.array_compact(F.array(*rows))), 1, limit)
 
         return let(unit_counts(t, units, labels), with_scores)
 

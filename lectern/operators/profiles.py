@@ -284,6 +284,6 @@ def taste_summary(profiles: DataFrame, lists: DataFrame, counts: DataFrame, lex:
                  j("negative", 0.12).alias("avoidance_signals"), j("combined", 0.08).alias("priorities"))
     heads = {"positive": 5, "negative": 5, "saved": 8, "favorite": 8}
     rows = lists.where(F.col("list").isin(*heads) & (F.col("rank") <= 8)).groupBy("user_id").agg(*[
-        F.transform(F.array_sort(F.collect_list(F.when((F.col("list") == k) & (F.col("rank") <= n), F.struct("rank", "book_id")))), lambda x: x["book_id"]).alias(f"{k}_books")
+        F.transform(F.sort_array(F.collect_list(F.when((F.col("list") == k) & (F.col("rank") <= n), F.struct("rank", "book_id")))), lambda x: x["book_id"]).alias(f"{k}_books")
         for k, n in heads.items()])
     return p.join(counts, "user_id", "left").join(rows, "user_id", "left")

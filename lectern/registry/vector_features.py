@@ -12,6 +12,7 @@ from lectern.operators import features, terms, vectors
 from lectern.registry import sql as q
 from lectern.registry.base import query
 from lectern.registry.search_terms import long_int
+from lectern.session import stage
 
 DIM = 64
 
@@ -31,7 +32,8 @@ def hash_sql(table: str, key: str, toks: str, name: str = "emb") -> str:
 SELECT book_id, CAST(slot AS BIGINT) AS slot, round(x, 6) AS x FROM emb WHERE x <> 0""")
 def hash_embedding(spark, sf):
     docs = b.catalog(spark, sf).select("book_id", vx.hash_embedding(tx.tokens(F.col("content"), LATIN), DIM).alias("v"))
-    rows = docs.select("book_id", F.posexplode("v").alias("slot", "x")).where("x <> 0")
+    # Written first: unfolding a computed array would evaluate it again for the filter Spark infers from the explode.
+    rows = stage(docs, "vectors").select("book_id", F.posexplode("v").alias("slot", "x")).where("x <> 0")
     return rows.select("book_id", long_int("slot"), F.round("x", 6).alias("x"))
 
 
