@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 STAGE_DIR_KEY = "spark.checkpoint.dir"
 BROADCAST_ROWS = 20_000
 _local_stage: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lectern") -> SparkSession:
@@ -31,16 +35,32 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lec
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only a session without one (tests) gets a new temporary folder."""
+    """The shared folder of the cluster. Only a session in one process may do without and gets a new temporary folder."""
     root = spark.sparkContext.getConf().get(STAGE_DIR_KEY, None) or spark.conf.get(STAGE_DIR_KEY, None)
     if root:
         return root
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError(f"set {STAGE_DIR_KEY} to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_stage:
         _local_stage[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return _local_stage[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that a job can start from any folder."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{home.name}.zip"  # the driver's own; Spark sends the file
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, file.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, keeps column pruning."""
     path = os.path.join(stage_root(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
