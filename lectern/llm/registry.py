@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import sharding
+from lectern.llm import mixing, quality, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,24 @@ def query(name: str, sql: str | None = None):
 @query("op8_sharding")
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"), shards=24)
+
+
+@query("op4_secret_scan", secrets.digest_sql("documents"))
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scanned(_table(spark, sf_dir, "documents")))
+
+
+@query("op5_quality_rules", quality.judged_sql("documents"))
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+@query("op6_poisson_mix", mixing.mix_sql("documents", 0.7, 42))
+def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing.flattened(docs, 0.7), seed=42)
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(_table(spark, sf_dir, "documents"))
