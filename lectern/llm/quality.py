@@ -18,8 +18,9 @@ RATES = {
     "symbols": ("1000 * n_symbols DIV n_words", 100),
     "marks": ("1000 * n_marks DIV n_words", 300),
     "capitals": ("1000 * n_capitals DIV greatest(1, word_chars)", 100),
-    "dup_lines": ("1000 * n_dup_lines DIV greatest(1, n_lines)", 200),
-    "repeats": ("1000 * n_repeat_words DIV n_words", 150),
+    "dup_lines": ("1000 * n_dup_lines DIV greatest(1, n_lines)", 400),
+    "repeats": ("1000 * n_repeat_words DIV n_words", 300),
+    "echoes": ("1000 * n_echoes DIV n_words", 100),
 }
 TWO_SIDED = ("word_length",)
 FENCE = 3  # quartile distances beyond a quartile
@@ -46,7 +47,7 @@ def repeat_words(tokens: Column) -> Column:
 
 
 def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Counts of each whole text: words, characters in them, symbols, marks, capitals, lines, repeated lines and words."""
+    """Counts of each whole text: words, characters in them, symbols, marks, capitals, lines, repeated lines, repeated words, words equal to the one before."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text.alias("text"), words(text).alias("tokens"))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -60,6 +61,7 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         only(r"#*$%&|<>").cast("long").alias("n_symbols"), only(r"!-/:-@\[-`{-~").cast("long").alias("n_marks"), only("A-Z").cast("long").alias("n_capitals"),
         bound(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
         repeat_words(F.col("tokens")).cast("long").alias("n_repeat_words"),
+        bound(F.col("tokens"), lambda t: F.size(F.filter(t, lambda w, i: w == F.get(t, i - 1)))).cast("long").alias("n_echoes"),
     ).withColumns({"n_lines": F.col("lines")["n"], "n_dup_lines": F.col("lines")["dup"]}).drop("lines")
 
 
@@ -146,7 +148,8 @@ lined AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: rege
 counted AS (SELECT d.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!-/:-@\\[-`{{-~]+', '', 'g')) AS n_marks,
             length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
-            CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+            CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+            len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_echoes
             FROM docs d JOIN lined USING (doc_id) LEFT JOIN reps USING (doc_id)),
 rates AS ({rates}),
 cells AS (SELECT *, (value >> greatest(length(bin(value)) - {BITS}, 0)) << greatest(length(bin(value)) - {BITS}, 0) AS cell FROM rates),
