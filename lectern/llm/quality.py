@@ -16,8 +16,8 @@ SHINGLE = 8
 RATES = {
     "word_length": ("1000 * word_chars DIV n_words", 2000),
     "symbols": ("1000 * n_symbols DIV n_words", 100),
-    "marks": ("1000 * n_marks DIV n_words", 300),
-    "capitals": ("1000 * n_capitals DIV greatest(1, word_chars)", 100),
+    "marks": ("1000 * n_marks DIV n_words", 600),
+    "capitals": ("1000 * n_capitals DIV greatest(1, word_chars)", 250),
     "dup_lines": ("1000 * n_dup_lines DIV greatest(1, n_lines)", 400),
     "repeats": ("1000 * n_repeat_words DIV n_words", 300),
     "echoes": ("1000 * n_echoes DIV n_words", 100),
