@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import mixing, quality, secrets, sharding, simhash
+from lectern.llm import lines, mixing, packing, quality, repeats, secrets, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +51,29 @@ def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(_table(spark, sf_dir, "documents"))
+
+
+@query("op1_repeats")
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(_table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query("op2_topk", topk.nearest_sql("embeddings", 50))
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("vector"))
+    return topk.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_bins(_table(spark, sf_dir, "documents"), capacity=2048)
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeats(_table(spark, sf_dir, "documents"), count="n_removed").select("doc_id", "text", "n_removed")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(_table(spark, sf_dir, "documents"), toxicity.targets(_table(spark, sf_dir, "labels")))

@@ -129,6 +129,5 @@ def representatives(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id"
     groups = grouped(docs, shingle=shingle, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     rows = packed(docs, docs[id_col].cast("long").alias("__id"))
     kept = rows.where("__id IS NOT NULL").join(groups, F.col("__id") == F.col("__keep"))
-    hashed = F.xxhash64(F.to_json(F.col(ROW)))
-    one = kept.groupBy("__id").agg(F.min_by(ROW, hashed).alias(ROW))
+    one = kept.groupBy("__id").agg(F.min_by(ROW, F.xxhash64(ROW)).alias(ROW))
     return unpacked(one.select(ROW).union(rows.where("__id IS NULL").select(ROW)), docs.columns)
