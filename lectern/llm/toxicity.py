@@ -14,7 +14,7 @@ from lectern.session import ship, stage
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)  # first letters of longer words: stems that come with many endings
 SAMPLE = 20_000
-VOCABULARY = 200_000
+VOCABULARY = 8192
 FOLDS = 3
 MEMO = 400_000
 
@@ -105,8 +105,8 @@ def _best_threshold(held: np.ndarray, y: np.ndarray) -> float:
 def fit(sampled: DataFrame, categories: list[str], *, least: int = 3, vocabulary: int = VOCABULARY):
     """The chain's model, of bounded size: feature -> weights, dense weights and threshold per category.
 
-    The sample has a bounded number of rows. Spark counts features over it and keeps those in `least` documents, at most `vocabulary`;
-    one task then fits the chain on the features' numbers.
+    The sample has a bounded number of rows. Spark counts features over it and keeps the `vocabulary` ones most tied to a category
+    of those in `least` documents or more; one task then fits the chain on the features' numbers.
     """
     spark = sampled.sparkSession
     ship(spark)
@@ -119,8 +119,13 @@ def fit(sampled: DataFrame, categories: list[str], *, least: int = 3, vocabulary
 
     kinds = ", ".join(f"{c} int" for c in categories)
     texts = stage(sampled.select("id", *categories, "text").mapInArrow(listed, f"id long, {kinds}, features array<string>"), "toxicity-features")
-    counted = texts.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    kept = counted.orderBy(F.desc("n"), "feature").limit(vocabulary)
+    n, *hits = texts.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in categories]).first()
+    counted = texts.select(F.explode("features").alias("feature"), *categories).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories])
+    kept = counted.where(F.col("n") >= least)
+    rates = [(c, min(max(h / max(1, n), 1e-6), 1 - 1e-6)) for c, h in zip(categories, hits, strict=True)]
+    # How far a category is over- or under-represented among the documents with the feature, in squared standard errors.
+    lift = [F.pow(F.col(c) - F.col("n") * r, 2) / (F.col("n") * (r * (1 - r))) for c, r in rates]
+    kept = kept.orderBy(F.desc(F.greatest(*lift) if len(lift) > 1 else lift[0]), "feature").limit(vocabulary)
     kept = stage(kept.select("feature"), "toxicity-vocabulary")
     known = texts.select("id", F.explode("features").alias("feature")).join(kept, "feature")
     known = known.groupBy("id").agg(F.sort_array(F.collect_list("feature")).alias("known"))
