@@ -5,51 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW, bound, packed, unpacked, words
+from lectern.llm.common import ROW, SPACE, SPACE_CHARS, bound, packed
 from lectern.session import stage
 
 SHINGLE = 5
 #: Jaccard similarity of at least 4/5, kept as whole numbers so that no rounding decides.
 OVER, UNDER = 4, 5
-COUNTERS = 1 << 18  # of the rarity sketch
+COUNTERS = 1 << 15  # of the rarity sketch
 FILTER = 1 << 20  # cells of the filter on set ids
 NO_ID = (1 << 63) - 1
 LOW = (1 << 32) - 1
 KEY = ("doc_id", "h", "line")
 
 
-def shingles(line: Column) -> Column:
-    """Sorted distinct 32-bit hashes of a line's shingles of five words, case aside; of a shorter line the hash of all its words."""
-    def of(tokens):
-        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (SHINGLE - 1), F.lit(1))), lambda i: F.hash(F.slice(tokens, i, SHINGLE)))
-        return F.when(F.size(tokens) == 0, F.array().cast("array<int>")).otherwise(F.sort_array(F.array_distinct(windows)))
-
-    return bound(words(F.lower(line)), of)
+def windows(line: Column) -> Column:
+    """32-bit hashes of the shingles of five words of a line with a word; of a shorter line the hash of all its words."""
+    tokens = F.split(F.trim(line, F.lit(SPACE_CHARS)), SPACE + "+")
+    return bound(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (SHINGLE - 1), F.lit(1))), lambda i: F.hash(F.slice(t, i, SHINGLE))))
 
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (hash of the whole text), line (number from 0), n, d1, d2 (two hashes of the set), tokens: lines with a word."""
+    """doc_id, h (hash of the whole text), line (number from 0), n, d1, d2 (two hashes of the set), tokens (sorted, distinct; case aside): lines with a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("line", "value"))
-    sets = rows.select(*KEY, shingles(F.col("value")).alias("tokens")).where(F.size("tokens") > 0)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(F.lower(text), "\n")).alias("line", "value"))
+    rows = rows.where(F.col("value").rlike(r"[^\x20\x09-\x0D]"))
+    sets = rows.select(*KEY, F.sort_array(F.array_distinct(windows(F.col("value")))).alias("tokens"))
     return sets.select(*KEY, F.size("tokens").alias("n"), F.xxhash64("tokens").alias("d1"), F.xxhash64("tokens", F.lit(1)).alias("d2"), "tokens")
 
 
-def rarity(sets: DataFrame) -> DataFrame:
-    """One row: a count sketch of all tokens with a fixed number of counters. It only orders tokens, which decides the cost and never the result."""
+def rarity(sets: DataFrame) -> bytes:
+    """A count sketch of all tokens with a fixed number of counters, each a byte on a logarithmic scale. It only orders tokens,
+    which decides the cost and never the result."""
     cell = F.pmod(F.col("token"), F.lit(COUNTERS)).alias("cell")
     counts = sets.select(F.explode("tokens").alias("token")).groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
-    every = sets.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
-    counts = counts.union(every).groupBy("cell").agg(F.sum("n").alias("n"))  # a counter for each cell, `COUNTERS` rows
-    table = counts.agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("c"))
-    return table.select(F.lit(1).alias("one"), F.transform("c", lambda x: F.least(x["n"], F.lit((1 << 30) - 1)).cast("int")).alias("counters"))
+    level = F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 3) + 2).cast("int")
+    table = bytearray(b"\1" * COUNTERS)
+    for row in counts.select("cell", level.alias("level")).collect():  # a number per cell, `COUNTERS` rows at most
+        table[row["cell"]] = row["level"]
+    return bytes(table)
 
 
-def prefix(tokens: Column, n: Column) -> Column:
+def prefix(tokens: Column, n: Column, counters: bytes) -> Column:
     """The rarest tokens of a set, as many as a set of any size at the least similarity must share one of: n - ceil(4n/5) + 1."""
+    table = F.lit(counters)
+
     def ranked(token):
-        count = F.get("counters", F.pmod(token, F.lit(COUNTERS)))
-        return F.shiftleft(count.cast("long"), 32).bitwiseOR(token.cast("long").bitwiseAND(F.lit(LOW)))
+        level = F.ascii(F.substring(table, F.pmod(token, F.lit(COUNTERS)) + 1, F.lit(1)).cast("string"))
+        return F.coalesce(F.shiftleft(level.cast("long"), 32).bitwiseOR(token.cast("long").bitwiseAND(F.lit(LOW))), F.lit(0).cast("long"))
 
     length = n - F.expr(f"({OVER} * n + {UNDER - 1}) DIV {UNDER}").cast("int") + 1
     return F.transform(F.slice(F.sort_array(F.transform(tokens, ranked)), F.lit(1), length), lambda x: x.bitwiseAND(F.lit(LOW)))
@@ -87,8 +89,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     settles groups of near copies at a row per set; only sets still without a match meet the others.
     """
     sets = stage(line_sets(docs, id_col, text_col), "line-sets")
-    counters = stage(rarity(sets), "line-rarity")
-    ranked = sets.withColumn("one", F.lit(1)).join(F.broadcast(counters), "one").select(*KEY, "d1", "d2", "n", prefix(F.col("tokens"), F.col("n")).alias("prefix"))
+    ranked = sets.select(*KEY, "d1", "d2", "n", prefix(F.col("tokens"), F.col("n"), rarity(sets)).alias("prefix"))
     firsts = ranked.groupBy("d1", "d2").agg(F.min(F.struct(*KEY)).alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     firsts = stage(firsts, "line-firsts")
 

@@ -44,7 +44,7 @@ def _fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, y: np.ndarray,
     """
     positive = max(1, int(y.sum()))
     weight = np.where(y > 0, min(10.0, max(1.0, (n - positive) / positive)), 1.0)
-    dense = np.column_stack([extra, np.ones(n)]) if extra.size else np.ones((n, 1))
+    dense = np.column_stack([extra, np.ones(n)])
     norm = np.sqrt(np.maximum(1, np.bincount(rows, minlength=n)))  # texts of all lengths count alike
     values = (1 / norm)[rows]
     curve = np.concatenate([np.bincount(cols, values * values * weight[rows], minlength=width), (dense**2 * weight[:, None]).sum(0)]) / 4
@@ -63,7 +63,7 @@ def _fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, y: np.ndarray,
 
 def _score(rows, cols, n, width, w, extra) -> np.ndarray:
     norm = np.sqrt(np.maximum(1, np.bincount(rows, minlength=n)))
-    dense = np.column_stack([extra, np.ones(n)]) if extra.size else np.ones((n, 1))
+    dense = np.column_stack([extra, np.ones(n)])
     return 1 / (1 + np.exp(-np.clip(np.bincount(rows, (1 / norm)[rows] * w[cols], minlength=n) + dense @ w[width:], -30, 30)))
 
 
@@ -141,11 +141,12 @@ def fit(sampled: DataFrame, categories: list[str], *, least: int = 3, vocabulary
         weights = np.column_stack([m[: len(names)] for m in models]) if names else np.zeros((0, len(models)))
         dense = [[float(v) for v in m[len(names):]] + [_best_threshold(held[:, k], y[:, k])] for k, m in enumerate(models)]
         every = [*weights.tolist(), *dense]
-        return pa.table({"feature": [*names, *[None] * len(dense)], "weights": pa.array(every, pa.list_(pa.float64()))})
+        return pa.table({"feature": pa.array([*names, *[None] * len(dense)], pa.string()), "weights": pa.array(every, pa.list_(pa.float64()))})
 
     one = numbers.withColumn("one", F.lit(1)).groupBy("one")  # the bounded sample
     rows = stage(one.applyInArrow(train, "feature string, weights array<double>"), "toxicity-model").collect()
     dense = sorted((r["weights"] for r in rows if r["feature"] is None), key=len)  # a later category has one more
+    dense = dense or [[0.0] * k + [0.0, 1.0] for k in range(len(categories))]  # without a sample nothing is a hit
     return {r["feature"]: r["weights"] for r in rows if r["feature"] is not None}, dense
 
 

@@ -105,3 +105,74 @@ def top_k(vectors, queries, k):
         scored = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), i) for i, v in vectors.items() if i != q)[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return out
+
+
+KINDS = (
+    ("assign", re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""), 2, 12),
+    ("access", re.compile(r"(AKIA[A-Z0-9]+)"), 1, 18),
+    ("hex", re.compile(r"([0-9a-f]+)"), 1, 16),
+)
+
+
+def secrets(text, classes, allowed, window=20):
+    import math
+
+    text = text or ""
+    base = [(m.start(), rank, m.end(), kind) for rank, (kind, pattern, group, least) in enumerate(KINDS) for m in pattern.finditer(text) if len(m[group]) >= least]
+    more = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        if any(a < m.end() and m.start() < z for a, _, z, _ in base) or any(re.fullmatch(p, m[0]) for p in allowed):
+            continue
+        most = 0.0
+        for i in range(len(m[0]) - window + 1):
+            part = m[0][i:i + window]
+            most = max(most, -sum(part.count(c) / window * math.log2(part.count(c) / window) for c in set(part)))
+        bits = next(b for _, chars, b in classes if re.fullmatch(chars, m[0]))
+        if most >= bits - 1e-9:
+            more.append((m.start(), 3, m.end(), "entropy"))
+
+    def told(spans):
+        return ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(spans))
+
+    return (*[sum(s[3] == k for s in base) for k in ("assign", "access", "hex")], hashlib.sha256(told(base).encode()).hexdigest(), told(base + more))
+
+
+def quality(text):
+    w = words(text)
+    grams = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
+    inside = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    failed = len(w) < 20 or 100 * len(inside) > 30 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside), failed
+
+
+def best_fit(pieces, capacity):
+    """(size, source, cluster) in order to bins, by trying every bin."""
+    bins, out = [], []
+    for size, source, cluster in pieces:
+        fitting = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= size and source not in b["sources"] and cluster not in b["clusters"]]
+        if fitting:
+            left = min(fitting)[0]
+            k = min((b["since"], i) for i, b in enumerate(bins) if (b["left"], i) in fitting and b["left"] == left)[1]
+        else:
+            bins.append({"left": capacity, "sources": set(), "clusters": set(), "since": 0})
+            k = len(bins) - 1
+        b = bins[k]
+        out.append((k, capacity - b["left"]))
+        b["left"] -= size
+        b["sources"].add(source)
+        b["clusters"].add(cluster)
+        b["since"] = len(out)
+    return out
+
+
+def poisson_count(seed, doc_id, rate):
+    import math
+
+    u = int(hashlib.md5(f"{seed}:{doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+    k, p, total = 0, math.exp(-rate), math.exp(-rate)
+    while u >= total and k < 10_000:
+        k += 1
+        p *= rate / k
+        total += p
+    return k
