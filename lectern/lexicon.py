@@ -419,7 +419,6 @@ SLUG_LETTERS = {
     "j": "й", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "q": "к", "r": "р",
     "s": "с", "t": "т", "u": "у", "v": "в", "w": "в", "x": "кс", "y": "й", "z": "з",
 }
-SLUG_FIXES = (("ийи", "ий"), ("ыи", "ы"), ("скийи", "ский"), ("кый", "кий"))
 SLUG_AUTHORS = {
     "Belyaev": "Беляев", "Bulgakov": "Булгаков", "Bulichev": "Булычев", "CharlotteBronte": "Шарлотта Бронте",
     "Dostoevskiyi": "Достоевский", "Dreiser": "Драйзер", "Gogol": "Гоголь", "Gorkiyi": "Горький",

@@ -106,12 +106,13 @@ def combined_scores(tokens: Column, prototypes: list[list[float]], lex: Lexicon
     return shares(mixed, lex)
 
 
-def book_profiles(chunks: DataFrame, lex: Lexicon = RUSSIAN, first: int = 24) -> DataFrame:
-    """(book_id, scores): mean distribution of the first non-empty chunks of a book, one row per book."""
+def book_profiles(chunks: DataFrame, lex: Lexicon = RUSSIAN, first: int | None = None) -> DataFrame:
+    """(book_id, scores): mean distribution of all non-empty chunks of a book, or of its `first` ones."""
     tokens = F.col("tokens") if "tokens" in chunks.columns else tx.tokens(F.col("content"), lex)
-    used = chunks.where((F.col("position") < first) & (F.length("content") > 0))
+    used = chunks.where(F.length("content") > 0)
+    used = used if first is None else used.where(F.col("position") < first)
     scored = used.select("book_id", lexical_scores(tokens, lex).alias("s"))
-    means = [F.avg(F.get("s", F.lit(i))) for i in range(len(lex.feature_keys()))]
+    means = [F.round(F.avg(F.get("s", F.lit(i))), 9) for i in range(len(lex.feature_keys()))]
     return scored.groupBy("book_id").agg(F.array(*means).alias("scores"))
 
 

@@ -160,13 +160,12 @@ def ledger_summary(spark, sf):
     return ingest.scan_summary(b.table(spark, sf, "events").select(r.alias("result")))
 
 
-@query("library_admission", """WITH u AS (SELECT doc_id AS id, n_chars AS size_bytes, TIMESTAMP '2024-01-01' + INTERVAL (doc_id * 97 % 500) HOUR AS uploaded_at FROM documents),
-r AS (SELECT *, sum(size_bytes) OVER (ORDER BY uploaded_at, id) AS lib FROM u) SELECT id, CAST(lib AS BIGINT) AS library_bytes, lib <= 1500000 AS admitted FROM r""")
+@query("library_admission", """WITH lib AS (SELECT CAST(sum(n_chars) AS BIGINT) AS library_bytes FROM documents)
+SELECT page_id AS id, library_bytes, library_bytes + length(html) <= 2412000 AS admitted FROM pages, lib""")
 def library_admission(spark, sf):
-    d = b.table(spark, sf, "documents")
-    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + (F.col("doc_id") * 97 % 500) * 3600)
-    u = d.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size_bytes"), at.alias("uploaded_at"))
-    return files.library_admission(u, F.lit(0), 1500000).select("id", "library_bytes", "admitted")
+    uploads = b.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.length("html").cast("long").alias("size_bytes"))
+    stored = b.table(spark, sf, "documents").select(F.col("n_chars").alias("size_bytes"))
+    return files.library_admission(uploads, stored, 2412000).select("id", "library_bytes", "admitted")
 
 
 @query("session_activity_window", f"""WITH {EV}, g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev),
@@ -228,7 +227,9 @@ def page_keys(spark, sf):
 @query("json_repair", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind FROM events""")
 def json_repair(spark, sf):
     ev = b.table(spark, sf, "events")
-    body = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', “kind”: {"name": "'), F.col("event_type"), F.lit('", "note": "a } b",},}'))
+    deep = '{"a":' * 10 + '"}{ \\\\ \\" }"' + "}" * 10
+    note = F.concat(F.lit("a } b "), F.lit('{x\\" ' * 5), F.repeat(F.lit("word "), 1500))  # long, with escapes
+    body = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', “kind”: {"name": "'), F.col("event_type"), F.lit('", "deep": ' + deep + ', "note": "'), note, F.lit('",},}'))
     broken = F.concat(F.lit("<think>no {json} here</think>\n```json\n"), body, F.lit("\n```"))
     fixed = F.from_json(understanding.repaired_json(broken), "k long, kind struct<name string, note string>")
     return ev.select("event_id", fixed.alias("j")).select("event_id", "j.k", F.col("j.kind.name").alias("kind"))

@@ -98,7 +98,7 @@ TFIDF = f"""book_toks AS MATERIALIZED (SELECT book_id, {q.tokens('content')} AS
 grams AS MATERIALIZED (SELECT book_id, list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS g FROM book_toks),
 counted AS MATERIALIZED (SELECT book_id, term, count(*) AS tf FROM (SELECT book_id, unnest(g) AS term FROM grams) GROUP BY ALL),
 vocab AS MATERIALIZED (SELECT term, ln((1.0 + (SELECT count(*) FROM docs)) / (1 + df)) + 1.0 AS idf FROM (
-  SELECT term, sum(tf) AS cf, count(*) AS df FROM counted GROUP BY term ORDER BY cf DESC, term LIMIT 50000)),
+  SELECT term, sum(tf) AS cf, count(*) AS df FROM counted GROUP BY term)),
 raw AS MATERIALIZED (SELECT book_id, term, idf, tf * idf AS w FROM counted JOIN vocab USING (term)),
 sized AS (SELECT book_id, sqrt(sum(w * w)) AS size FROM raw GROUP BY book_id),
 weights AS MATERIALIZED (SELECT book_id, term, idf, w / size AS weight FROM raw JOIN sized USING (book_id))"""
@@ -161,7 +161,7 @@ def chunk_collect(spark, sf):
 
 @query("adaptation_pairs", f"""WITH RECURSIVE {q.CHUNKS}, c AS (
   SELECT chunk_id, book_id, title, position, trim(chunks.content, {q.BLANKS}) AS chunk, {q.tokens('chunks.content')} AS toks
-  FROM chunks JOIN docs USING (book_id) WHERE position < 3 AND length(trim(chunks.content, {q.BLANKS})) >= 80 AND title <> ''),
+  FROM chunks JOIN docs USING (book_id) WHERE title <> ''),
 tc AS (SELECT chunk_id, term, count(*) AS n, min(i) AS first FROM (SELECT chunk_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS i FROM c) GROUP BY ALL),
 tr AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, first) AS rn FROM tc),
 td AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY rn) AS k FROM tr WHERE rn <= 15 AND length(term) >= 4),

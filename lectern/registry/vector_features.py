@@ -146,7 +146,7 @@ def feature_top2(spark, sf):
 
 
 @query("book_feature_profile", f"""WITH RECURSIVE {q.TOKENED}, {STEMS}, {KEYS},
-first AS (SELECT chunk_id, book_id, toks FROM tokened WHERE position < 24), {shares_sql('first', 'chunk_id', 'toks')}
+first AS (SELECT chunk_id, book_id, toks FROM tokened), {shares_sql('first', 'chunk_id', 'toks')}
 SELECT book_id, category, feature, round(avg(score), 6) AS score FROM fs JOIN first USING (chunk_id) GROUP BY ALL""")
 def book_feature_profile(spark, sf):
     profiles = features.book_profiles(b.chunks(spark, sf), LATIN)
@@ -154,7 +154,7 @@ def book_feature_profile(spark, sf):
 
 
 @query("feature_richness", f"""WITH RECURSIVE {q.TOKENED}, {STEMS}, {KEYS},
-first AS (SELECT chunk_id, book_id, toks FROM tokened WHERE position < 24), {shares_sql('first', 'chunk_id', 'toks')},
+first AS (SELECT chunk_id, book_id, toks FROM tokened), {shares_sql('first', 'chunk_id', 'toks')},
 p AS (SELECT book_id, k, avg(score) AS score FROM fs JOIN first USING (chunk_id) GROUP BY ALL),
 r AS (SELECT book_id, round(sum(greatest(score, 0)), 6) AS richness FROM p GROUP BY book_id)
 SELECT book_id, richness, row_number() OVER (ORDER BY richness DESC, book_id) AS rank FROM r ORDER BY richness DESC, book_id LIMIT 18""")

@@ -28,6 +28,13 @@ def index(spark):
     return ps.build_index(catalog, terms.chunk_table(catalog), dim=384)
 
 
+def test_a_part_of_a_name_finds_its_book(spark, index):
+    asked = spark.createDataFrame([(1, "раскольник"), (2, "ничего такого")], "query_id int, query string")
+    found = ps.fast_entities(asked, index, 3).collect()
+    assert [(r.query_id, r.book_id) for r in found if r.rank == 1] == [(1, "crime_punishment")]
+    assert found[0].entity >= 0.88
+
+
 QUERIES = [
     (1, "Раскольников", {"entity"}, "crime_punishment", 1),
     (2, "человек убил процентщицу", {"scene", "specific", "mixed"}, "crime_punishment", 1),
