@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STAGE_DIR_KEY = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BROADCAST_ROWS = 20_000
 _local_stage: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -63,8 +64,16 @@ def ship(spark: SparkSession) -> None:
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, keeps column pruning."""
-    path = os.path.join(stage_root(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = os.path.join(stage_root(spark), f"{name}-{uuid.uuid4().hex}")
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    if before is not None:  # nothing reads the shuffles of a finished table again
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
