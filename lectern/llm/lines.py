@@ -12,7 +12,8 @@ SHINGLE = 5
 #: Jaccard similarity of at least 4/5, kept as whole numbers so that no rounding decides.
 OVER, UNDER = 4, 5
 COUNTERS = 1 << 15  # of the rarity sketch
-FILTER = 1 << 20  # cells of the filter on set ids
+FILTER = 1 << 20  # cells of the filters on set ids and documents
+SIZE = (1 << 20) - 1  # bits of a set id that hold its size, so that sizes can be compared before sets are
 NO_ID = (1 << 63) - 1
 LOW = (1 << 32) - 1
 KEY = ("doc_id", "h", "line")
@@ -45,6 +46,20 @@ def rarity(sets: DataFrame) -> bytes:
     return bytes(table)
 
 
+def _signed(x: Column) -> Column:
+    return F.when(x > LOW >> 1, x - (LOW + 1)).otherwise(x).cast("int")
+
+
+def set_id(d1: Column, n: Column) -> Column:
+    """Part of the digest and the size. Sets that share an id by chance are verified one by one."""
+    return d1.bitwiseAND(F.lit(~SIZE)).bitwiseOR(F.least(n, F.lit(SIZE)).cast("long"))
+
+
+def _near_in_size(a: Column, b: Column) -> Column:
+    n, m = a.bitwiseAND(F.lit(SIZE)), b.bitwiseAND(F.lit(SIZE))
+    return (n == SIZE) | (m == SIZE) | _alike(F.least(n, m), n, m)
+
+
 def prefix(tokens: Column, n: Column, counters: bytes) -> Column:
     """The rarest tokens of a set, as many as a set of any size at the least similarity must share one of: n - ceil(4n/5) + 1."""
     table = F.lit(counters)
@@ -54,7 +69,7 @@ def prefix(tokens: Column, n: Column, counters: bytes) -> Column:
         return F.coalesce(F.shiftleft(level.cast("long"), 32).bitwiseOR(token.cast("long").bitwiseAND(F.lit(LOW))), F.lit(0).cast("long"))
 
     length = n - F.expr(f"({OVER} * n + {UNDER - 1}) DIV {UNDER}").cast("int") + 1
-    return F.transform(F.slice(F.sort_array(F.transform(tokens, ranked)), F.lit(1), length), lambda x: x.bitwiseAND(F.lit(LOW)))
+    return F.transform(F.slice(F.sort_array(F.transform(tokens, ranked)), F.lit(1), length), lambda x: _signed(x.bitwiseAND(F.lit(LOW))))
 
 
 def _alike(overlap, n, m):
@@ -63,21 +78,22 @@ def _alike(overlap, n, m):
 
 def _flagged(ids: DataFrame) -> DataFrame:
     """The cells of a fixed-size filter that ids fall into: at most `FILTER` rows."""
-    return ids.select(F.pmod(F.col("id"), F.lit(FILTER)).alias("cell")).distinct()
+    return ids.select(F.pmod(F.shiftright("id", 20), F.lit(FILTER)).alias("cell")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """d1, d2 of the later set of each pair (a, b) of ids that is alike. Only sets that pass the filter on ids are shuffled."""
+    """d1, d2, id of the later set of each pair (a, b) of ids that is alike. Only sets that pass the filter on ids are shuffled."""
     pairs = stage(pairs, "line-pairs")
     cells = stage(_flagged(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "line-cells")
-    some = sets.withColumn("cell", F.pmod(F.col("d1"), F.lit(FILTER))).join(F.broadcast(cells), "cell")
+    some = sets.withColumn("cell", F.pmod(F.shiftright("d1", 20), F.lit(FILTER))).join(F.broadcast(cells), "cell")
     some = some.groupBy("d1", "d2").agg(F.min(F.struct(*KEY)).alias("key"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    some = some.withColumn("id", set_id(F.col("d1"), F.col("n")))
     left, right = (some.select(*[F.col(c).alias(f"{side}_{c}") for c in some.columns]) for side in ("a", "b"))
-    both = pairs.join(left, F.col("a") == F.col("a_d1")).join(right, F.col("b") == F.col("b_d1"))
+    both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
     both = both.where(_alike(F.least("a_n", "b_n"), F.col("a_n"), F.col("b_n")))
     alike = both.where(_alike(F.size(F.array_intersect("a_tokens", "b_tokens")), F.col("a_n"), F.col("b_n")))
     later = F.col("a_key") > F.col("b_key")
-    return alike.select(F.when(later, F.col("a_d1")).otherwise(F.col("b_d1")).alias("d1"), F.when(later, F.col("a_d2")).otherwise(F.col("b_d2")).alias("d2")).distinct()
+    return alike.select(F.when(later, F.col("a_d1")).otherwise(F.col("b_d1")).alias("d1"), F.when(later, F.col("a_d2")).otherwise(F.col("b_d2")).alias("d2"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,23 +109,25 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     firsts = ranked.groupBy("d1", "d2").agg(F.min(F.struct(*KEY)).alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     firsts = stage(firsts, "line-firsts")
 
-    posted = firsts.where(f"n >= {OVER}").select(F.posexplode("prefix").alias("pos", "token"), F.col("d1").alias("id"), "n")
-    # One long holds size and position: rows of the one large shuffle stay small.
-    posted = posted.select("token", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")).repartition("token")
+    # The one large shuffle has a token, an id that tells the size, and a position.
+    posted = firsts.where(f"n >= {OVER}").select(F.posexplode("prefix").alias("pos", "token"), set_id(F.col("d1"), F.col("n")).alias("id"))
+    posted = posted.select("token", "id", "pos").repartition("token")
     heads = posted.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("other")).where("head <> other").select("token", "head")
     met = stage(posted.join(heads.hint("shuffle_hash"), "token"), "line-met")
 
-    settled = stage(_verified(met.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), sets), "line-settled")
-    open_ = met.join(settled.select(F.col("d1").alias("id")), "id", "left_anti")
+    settled = stage(_verified(met.where(F.col("id") != F.col("head")).where(_near_in_size(F.col("id"), F.col("head"))).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), sets), "line-settled")
+    shared = firsts.groupBy(set_id(F.col("d1"), F.col("n")).alias("id")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")  # next to never
+    open_ = met.join(settled.select("id").distinct().join(shared, "id", "left_anti"), "id", "left_anti")
 
     def side(df, name):
-        return df.select("token", F.col("id").alias(name), F.shiftright("np", 32).cast("int").alias(f"{name}_n"), F.col("np").bitwiseAND(F.lit(LOW)).cast("int").alias(f"{name}_pos"))
+        return df.select("token", F.col("id").alias(name), F.col("id").bitwiseAND(F.lit(SIZE)).alias(f"{name}_n"), F.col("pos").alias(f"{name}_pos"))
 
     pairs = side(open_, "a").join(side(met, "b"), "token").where("a <> b")
-    pairs = pairs.where(_alike(F.least("a_n", "b_n"), F.col("a_n"), F.col("b_n")))
+    pairs = pairs.where(_near_in_size(F.col("a"), F.col("b")))
     most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    pairs = pairs.where(_alike(most, F.col("a_n"), F.col("b_n"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    gone = stage(settled.union(_verified(pairs, sets)).distinct(), "line-gone")
+    huge = (F.col("a_n") == SIZE) | (F.col("b_n") == SIZE)
+    pairs = pairs.where(huge | _alike(most, F.col("a_n"), F.col("b_n"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    gone = stage(settled.union(_verified(pairs, sets)).select("d1", "d2").distinct(), "line-gone")
 
     verdict = firsts.select("d1", "d2", "key").join(gone.withColumn("gone", F.lit(True)), ["d1", "d2"], "left")
     lines = sets.select(*KEY, "d1", "d2").join(verdict, ["d1", "d2"])
@@ -126,7 +144,13 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gone = repeated(docs, id_col=id_col, text_col=text_col).groupBy("doc_id").agg(F.collect_set(F.struct("h", "line")).alias("gone"))
     gone = stage(gone, "line-numbers")
     rows = packed(docs, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h"))
-    joined = rows.join(gone, "doc_id", "left").withColumn("numbers", F.transform(F.filter("gone", lambda g: g["h"] == F.col("h")), lambda g: g["line"]))
+    # Documents that lose nothing pass by, as far as a filter of fixed size can tell, and are not shuffled.
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("cell")
+    cells = F.broadcast(stage(gone.select(cell).distinct(), "line-cells"))
+    rows = rows.select("*", cell)
+    untouched = rows.join(cells, "cell", "left_anti").select(ROW, "doc_id", "h", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
+    touched = rows.join(cells, "cell", "left_semi").join(gone, "doc_id", "left").select(ROW, "doc_id", "h", "gone")
+    joined = untouched.union(touched).withColumn("numbers", F.transform(F.filter("gone", lambda g: g["h"] == F.col("h")), lambda g: g["line"]))
 
     def kept(text):
         def of(lines):
