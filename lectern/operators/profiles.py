@@ -102,15 +102,20 @@ def affinities(events: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def recent_lists(events: DataFrame) -> DataFrame:
-    """(user_id, list, book_id, rank): distinct books, latest first, within the limit of each list."""
+    """(user_id, list, book_id, rank): distinct books, latest first, within the limit of each list. For show; to exclude books take `memberships`."""
+    last = memberships(events)
+    limit = F.create_map(*[F.lit(x) for kv in LIST_LIMITS.items() for x in kv])
+    top = top_per(last, ["user_id", "list"], [F.desc("last")], max(LIST_LIMITS.values()))
+    return top.where(F.col("rank") <= F.try_element_at(limit, F.col("list"))).select("user_id", "list", "book_id", "rank")
+
+
+def memberships(events: DataFrame) -> DataFrame:
+    """(user_id, list, book_id, last): every book a user has seen, saved, liked or disliked, however long ago."""
     member = F.array_compact(F.array(
         F.lit("seen"), F.when(F.col("action").isin(*FAVORITE), F.lit("saved")), F.when(F.col("action").isin(*FAVORITE), F.lit("favorite")),
         F.when(F.col("action").isin(*POSITIVE), F.lit("positive")), F.when(F.col("action").isin(*NEGATIVE), F.lit("negative"))))
     rows = events.select("user_id", "book_id", "created_at", "id", F.explode(member).alias("list"))
-    last = rows.groupBy("user_id", "list", "book_id").agg(F.max(F.struct("created_at", "id")).alias("last"))
-    limit = F.create_map(*[F.lit(x) for kv in LIST_LIMITS.items() for x in kv])
-    top = top_per(last, ["user_id", "list"], [F.desc("last")], max(LIST_LIMITS.values()))
-    return top.where(F.col("rank") <= F.try_element_at(limit, F.col("list"))).select("user_id", "list", "book_id", "rank")
+    return rows.groupBy("user_id", "list", "book_id").agg(F.max(F.struct("created_at", "id")).alias("last"))
 
 
 # ---- taste -----------------------------------------------------------------------

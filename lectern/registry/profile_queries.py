@@ -162,7 +162,7 @@ def parts(spark, sf):
     ev = b.interactions(spark, sf)
     bk = stage(books(spark, sf), "books")
     st = profiles.feature_stores(ev, bk, NF)
-    return ev, bk, st, profiles.affinities(ev, bk), profiles.recent_lists(ev)
+    return ev, bk, st, profiles.affinities(ev, bk), profiles.memberships(ev)
 
 
 @query("profile_book_cosine", f"""WITH RECURSIVE {q.TOKENED}, {STORES}, {TASTE}, {SIMS}
@@ -257,7 +257,7 @@ SELECT user_id, book_id FROM cand c WHERE book_id <> CAST(user_id % 100 AS VARCH
   AND (NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = c.user_id AND s.book_id = c.book_id) OR EXISTS (SELECT 1 FROM saved s WHERE s.user_id = c.user_id AND s.book_id = c.book_id))""")
 def feed_exclude_seen(spark, sf):
     req = requests(spark, sf, mode="similar", exclude=F.array((F.col("user_id") % 100).cast("string")))
-    lists = profiles.recent_lists(b.interactions(spark, sf))
+    lists = profiles.memberships(b.interactions(spark, sf))
     cand = candidates(spark, sf).withColumnRenamed("user_id", "req_id")
     return feed.not_excluded(cand, req, lists).select(F.col("req_id").alias("user_id"), "book_id")
 
@@ -288,7 +288,7 @@ def cold_start_fill(spark, sf):
     cold = feed.cold_start(bk, 20).agg(F.array_sort(F.collect_list(F.struct((-F.col("richness")).alias("r"), "book_id"))).alias("c")).scalar()
     every_other = F.transform(F.filter("cold", lambda x, i: i % 2 == 1), lambda x: x["book_id"])
     req = requests(spark, sf, mode="similar").withColumn("cold", cold).withColumn("exclude_book_ids", every_other).drop("cold")
-    out = feed.filled(cand, req, profiles.recent_lists(ev), bk, 10)
+    out = feed.filled(cand, req, profiles.memberships(ev), bk)
     return out.select(F.col("req_id").alias("user_id"), "book_id", F.when(F.col("source") == 0, "kept").otherwise("cold").alias("origin"))
 
 
