@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +17,20 @@ PREFIXES = (4, 5, 6)  # first letters of longer words: stems that come with many
 SAMPLE = 20_000
 VOCABULARY = 8192
 FOLDS = 3
-MEMO = 400_000
+MEMO = 150_000
+ROWS = 512  # texts taken up at once, so that a task holds few of them as Python objects
 
 
 def _features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)]
 
 
+def _small(batches):
+    for b in batches:
+        for low in range(0, b.num_rows, ROWS):
+            yield b.slice(low, ROWS)
+
+
 def _words(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
@@ -112,7 +120,7 @@ def fit(sampled: DataFrame, categories: list[str], *, least: int = 3, vocabulary
     ship(spark)
 
     def listed(batches):
-        for b in batches:
+        for b in _small(batches):
             found = [sorted({f for w in _words(t) for f in _features(w)}) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), *[b.column(c) for c in categories], pa.array(found, pa.list_(pa.string()))],
                                              names=["id", *categories, "features"])
@@ -127,27 +135,28 @@ def fit(sampled: DataFrame, categories: list[str], *, least: int = 3, vocabulary
     lift = [F.pow(F.col(c) - F.col("n") * r, 2) / (F.col("n") * (r * (1 - r))) for c, r in rates]
     kept = kept.orderBy(F.desc(F.greatest(*lift) if len(lift) > 1 else lift[0]), "feature").limit(vocabulary)
     kept = stage(kept.select("feature"), "toxicity-vocabulary")
-    known = texts.select("id", F.explode("features").alias("feature")).join(kept, "feature")
-    known = known.groupBy("id").agg(F.sort_array(F.collect_list("feature")).alias("known"))
+    names = sorted(r["feature"] for r in kept.collect())  # `vocabulary` words at most
+    numbered = spark.createDataFrame(list(enumerate(names)), "number int, feature string")
+    known = texts.select("id", F.explode("features").alias("feature")).join(F.broadcast(numbered), "feature")
+    known = known.groupBy("id").agg(F.sort_array(F.collect_list("number")).alias("known"))
     numbers = texts.drop("features").join(known, "id", "left").withColumn("fold", F.pmod(F.xxhash64("id", F.lit("oof")), F.lit(FOLDS)).cast("int"))
 
     def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        lists = [x or [] for x in table.column("known").to_pylist()]
-        names = sorted({f for x in lists for f in x})
-        at = {f: i for i, f in enumerate(names)}
+        table = table.sort_by("id").combine_chunks()
+        lists = table.column("known").combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        docs = np.split(pc.list_flatten(lists).to_numpy(), np.cumsum(sizes)[:-1])
         y = np.column_stack([table.column(c).to_numpy() for c in categories]).astype(float)
-        models, held = _chain([[at[f] for f in x] for x in lists], y, table.column("fold").to_numpy(), len(names))
-        weights = np.column_stack([m[: len(names)] for m in models]) if names else np.zeros((0, len(models)))
+        models, held = _chain(docs, y, table.column("fold").to_numpy(), len(names))
         dense = [[float(v) for v in m[len(names):]] + [_best_threshold(held[:, k], y[:, k])] for k, m in enumerate(models)]
-        every = [*weights.tolist(), *dense]
-        return pa.table({"feature": pa.array([*names, *[None] * len(dense)], pa.string()), "weights": pa.array(every, pa.list_(pa.float64()))})
+        weights = np.column_stack([m[: len(names)] for m in models])
+        return pa.table({"number": pa.array([*range(len(names)), *[None] * len(dense)], pa.int32()), "weights": pa.array([*weights.tolist(), *dense], pa.list_(pa.float64()))})
 
-    one = numbers.withColumn("one", F.lit(1)).groupBy("one")  # the bounded sample
-    rows = stage(one.applyInArrow(train, "feature string, weights array<double>"), "toxicity-model").collect()
-    dense = sorted((r["weights"] for r in rows if r["feature"] is None), key=len)  # a later category has one more
+    one = numbers.withColumn("one", F.lit(1)).groupBy("one")  # the bounded sample, as numbers
+    rows = stage(one.applyInArrow(train, "number int, weights array<double>"), "toxicity-model").collect()
+    dense = sorted((r["weights"] for r in rows if r["number"] is None), key=len)  # a later category has one more
     dense = dense or [[0.0] * k + [0.0, 1.0] for k in range(len(categories))]  # without a sample nothing is a hit
-    return {r["feature"]: r["weights"] for r in rows if r["feature"] is not None}, dense
+    return {names[r["number"]]: r["weights"] for r in rows if r["number"] is not None}, dense
 
 
 def _scorer(sent):
@@ -208,7 +217,7 @@ def classified(docs: DataFrame, labels: DataFrame, categories: list[str] | None
 
     def run(batches):
         score = _scorer(sent)
-        for b in batches:
+        for b in _small(batches):
             p, hit = score(b.column("text").to_pylist())
             columns = [b.column("doc_id"), *[pa.array([x[k] for x in p], pa.float64()) for k in range(len(categories))], pa.array(hit, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[f"p_{c}" for c in categories], "toxic"])
@@ -225,7 +234,7 @@ def accepted(docs: DataFrame, labels: DataFrame, categories: list[str] | None =
 
     def run(batches):
         score = _scorer(sent)
-        for b in batches:
+        for b in _small(batches):
             hit = score(b.column(at).to_pylist())[1]
             yield b.filter(pa.array([not h for h in hit], pa.bool_()))
 
