@@ -26,18 +26,18 @@ def windows(line: Column) -> Column:
 
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (hash of the whole text), line (number from 0), n, d1, d2 (two hashes of the set), tokens (sorted, distinct; case aside): lines with a word."""
+    """doc_id, h (hash of the whole text), line (number from 0), n, d1, d2 (two hashes of the tokens in order), tokens (distinct; case aside): lines with a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(F.lower(text), "\n")).alias("line", "value"))
     rows = rows.where(F.col("value").rlike(r"[^\x20\x09-\x0D]"))
-    sets = rows.select(*KEY, F.sort_array(F.array_distinct(windows(F.col("value")))).alias("tokens"))
+    sets = rows.select(*KEY, F.array_distinct(windows(F.col("value"))).alias("tokens"))
     return sets.select(*KEY, F.size("tokens").alias("n"), F.xxhash64("tokens").alias("d1"), F.xxhash64("tokens", F.lit(1)).alias("d2"), "tokens")
 
 
 def rarity(sets: DataFrame) -> bytes:
     """A count sketch of all tokens with a fixed number of counters, each a byte on a logarithmic scale. It only orders tokens,
     which decides the cost and never the result."""
-    cell = F.pmod(F.col("token"), F.lit(COUNTERS)).alias("cell")
+    cell = F.col("token").bitwiseAND(F.lit(COUNTERS - 1)).alias("cell")
     counts = sets.select(F.explode("tokens").alias("token")).groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 3) + 2).cast("int")
     table = bytearray(b"\1" * COUNTERS)
@@ -65,7 +65,7 @@ def prefix(tokens: Column, n: Column, counters: bytes) -> Column:
     table = F.lit(counters)
 
     def ranked(token):
-        level = F.ascii(F.substring(table, F.pmod(token, F.lit(COUNTERS)) + 1, F.lit(1)).cast("string"))
+        level = F.ascii(F.substring(table, token.bitwiseAND(F.lit(COUNTERS - 1)) + 1, F.lit(1)).cast("string"))
         return F.coalesce(F.shiftleft(level.cast("long"), 32).bitwiseOR(token.cast("long").bitwiseAND(F.lit(LOW))), F.lit(0).cast("long"))
 
     length = n - F.expr(f"({OVER} * n + {UNDER - 1}) DIV {UNDER}").cast("int") + 1
@@ -99,8 +99,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, line of every line whose set of shingles has a Jaccard similarity of 0.8 or more with that of an earlier line.
 
-    Earlier is by doc_id, then the text's hash, then the line number, over the whole table; matched lines count too. Equal sets collapse
-    to their first line. Sets that are alike share a token among the rarest of each (prefix), which have
+    Earlier is by doc_id, then the text's hash, then the line number, over the whole table; matched lines count too. Lines with the same
+    tokens in the same order collapse to the first one. Sets that are alike share a token among the rarest of each (prefix), which have
     similar sizes (length) and enough tokens left behind the shared one (position). Of each token's sets, all first meet one head, which
     settles groups of near copies at a row per set; only sets still without a match meet the others.
     """
