@@ -19,19 +19,26 @@ LOW = (1 << 32) - 1
 KEY = ("doc_id", "h", "line")
 
 
-def windows(line: Column) -> Column:
-    """32-bit hashes of the shingles of five words of a line with a word; of a shorter line the hash of all its words."""
-    tokens = F.split(F.trim(line, F.lit(SPACE_CHARS)), SPACE + "+")
-    return bound(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (SHINGLE - 1), F.lit(1))), lambda i: F.hash(F.slice(t, i, SHINGLE))))
+def windows(words: Column) -> Column:
+    """64-bit hashes of the shingles of five words of a line; of a shorter line the hash of all its words."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
 
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (hash of the whole text), line (number from 0), n, d1, d2 (two hashes of the tokens in order), tokens (distinct; case aside): lines with a word."""
+    """doc_id, h (hash of the whole text), line (number from 0), n, d1, d2, tokens (distinct; case aside): lines with a word.
+
+    d1 and d2 are hashes of 64 bits with seeds of their own, which together tell sets apart: of the words where there is one token, of the
+    tokens elsewhere. Fewer than `OVER` tokens are alike only if equal, so these are hashed in a fixed order; larger sets meet by their tokens.
+    The stored tokens are the upper 32 bits, for the order, the prefix and the count of what two sets share.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(F.lower(text), "\n")).alias("line", "value"))
     rows = rows.where(F.col("value").rlike(r"[^\x20\x09-\x0D]"))
-    sets = rows.select(*KEY, F.array_distinct(windows(F.col("value"))).alias("tokens"))
-    return sets.select(*KEY, F.size("tokens").alias("n"), F.xxhash64("tokens").alias("d1"), F.xxhash64("tokens", F.lit(1)).alias("d2"), "tokens")
+    split = F.split(F.trim(F.col("value"), F.lit(SPACE_CHARS)), SPACE + "+")
+    sets = rows.select(*KEY, bound(split, lambda t: F.struct(F.array_distinct(windows(t)).alias("hashes"), F.xxhash64(F.lit(1), F.slice(t, 1, SHINGLE)).alias("only"))).alias("s"))
+    sets = sets.select(*KEY, F.size("s.hashes").alias("n"), "s.only", F.when(F.size("s.hashes") < OVER, F.sort_array("s.hashes")).otherwise(F.col("s.hashes")).alias("hashes"))
+    d2 = F.when(F.col("n") == 1, F.col("only")).otherwise(F.xxhash64(F.lit(1), F.col("hashes")))
+    return sets.select(*KEY, "n", F.xxhash64("hashes").alias("d1"), d2.alias("d2"), F.transform("hashes", lambda x: F.shiftright(x, 32).cast("int")).alias("tokens"))
 
 
 def rarity(sets: DataFrame) -> bytes:
@@ -100,7 +107,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, h, line of every line whose set of shingles has a Jaccard similarity of 0.8 or more with that of an earlier line.
 
     Earlier is by doc_id, then the text's hash, then the line number, over the whole table; matched lines count too. Lines with the same
-    tokens in the same order collapse to the first one. Sets that are alike share a token among the rarest of each (prefix), which have
+    tokens in the same order, or in any order if there are fewer than four, collapse to the first one. Sets that are alike share a token among the rarest of each (prefix), which have
     similar sizes (length) and enough tokens left behind the shared one (position). Of each token's sets, all first meet one head, which
     settles groups of near copies at a row per set; only sets still without a match meet the others.
     """
