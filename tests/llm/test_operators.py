@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lectern.llm import lines, mixing, packing, quality, repeats, secrets, sharding, simhash, topk, toxicity
 from lectern.llm.components import components
@@ -58,6 +59,41 @@ def got(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
+def passages(n=300):
+    """A passage of 90 bytes that all texts share, each in surroundings of its own; its edges have one anchor and all different segments."""
+    rng = random.Random(8)
+    noise = lambda: "".join(rng.choice("abcdefghij") for _ in range(120))
+    passage = "".join(rng.choice("klmnopqrst") for _ in range(90))
+    return [(i, noise() + passage + noise()) for i in range(n)]
+
+
+@pytest.mark.parametrize("largest", [1 << 21, 5000, 0])
+def test_repeats_of_one_passage_in_many_surroundings(spark, docs, monkeypatch, largest):
+    monkeypatch.setattr(repeats, "LARGEST", largest)
+    rows = passages()
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got(repeats.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), *columns) == sorted(brute.removed(rows))
+    assert got(repeats.removed(docs), *columns) == sorted(brute.removed(texts()))
+
+
+def test_repeats_deals_large_anchors_out(spark, monkeypatch):
+    """What one index holds stays small, however many different segments an anchor has."""
+    taken = []
+    step = DataFrame.mapInArrow
+
+    def seen(df, f, schema, **more):
+        if f is repeats._span_rows:
+            taken.append(df)
+        return step(df, f, schema, **more)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", seen)
+    monkeypatch.setattr(repeats, "LARGEST", 5000, raising=False)
+    repeats.removed(spark.createDataFrame(passages(), "doc_id long, text string").repartition(4))
+    for rows in taken:
+        sizes = rows.where("part is not null").select("anchor", "part").distinct().groupBy("anchor").agg(F.sum(F.length("part")).alias("n"))
+        assert 0 < sizes.agg(F.max("n")).first()[0] <= 5000
+
+
 @pytest.mark.parametrize("block, hot", [(1 << 20, 20_000), (2000, 1)])
 def test_repeats(docs, monkeypatch, block, hot):
     # The workers get the module's values with the package, so small blocks are tried in this process.
