@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lines, mixing, packing, quality, repeats, secrets, sharding, simhash, topk, toxicity
+from lectern.llm import centroids, importance, lines, lm, mixing, packing, quality, repeats, secrets, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(_table(spark, sf_dir, "documents"), toxicity.targets(_table(spark, sf_dir, "labels")))
+
+
+@query("op11_centroids", centroids.clustered_sql("embeddings"))
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", centroids.scaled(F.col("embedding"), 64, width=64).alias("vector"))
+    return centroids.digest(*centroids.clustered(vectors, k=16, rounds=3, seed=1))
+
+
+@query("op12_importance")
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, seed=2024)
+
+
+@query("op13_lm_scoring")
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = lm.held_out(F.col("doc_id"))
+    model = lm.fit(docs.where(~held))
+    scores = lm.scored(docs, model, keep={"held_out": held})
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
