@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -281,14 +284,42 @@ def sanitize_query(c: Column, lex: Lexicon = RUSSIAN) -> Column:
     return F.when(cut == "", whole).otherwise(cut)
 
 
+#: What the code points 128 to 159 stand for in web pages.
+LATIN_1_CONTROLS = "".join(bytes([i]).decode("cp1252") if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(i) for i in range(128, 160))
+
+
+def code_point(n: Column) -> Column:
+    """The character of a code point; the replacement character for one that is none."""
+    sound = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return (F.when(n.between(128, 159), F.substring(F.lit(LATIN_1_CONTROLS), (n - 127).cast("int"), F.lit(1)))
+            .when(sound, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd"))
+
+
+def unescaped(c: Column) -> Column:
+    """Character references decoded, each once: decimal, hexadecimal, and the names of HTML 4. What is no reference stays.
+
+    A reference starts at an ampersand, so the text is cut there and each piece starts with at most one.
+    """
+    named = F.from_json(F.lit(json.dumps(name2codepoint)), "map<string,int>")
+
+    def decoded(piece: Column) -> Column:
+        number = F.regexp_extract(piece, r"^#([0-9]{1,9});?", 1)
+        hexed = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,8});?", 1)
+        name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        n = F.when(number != "", number.cast("long")).when(hexed != "", F.conv(hexed, 16, 10).cast("long")).when(name != "", F.try_element_at(named, name).cast("long"))
+        rest = F.regexp_replace(piece, r"^(#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]*;)", "")
+        return F.when(n.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(code_point(n), rest))
+
+    pieces = F.transform(F.split(c, "&"), lambda p, i: F.when(i == 0, p).otherwise(decoded(p)))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+
+
 def html_text(c: Column) -> Column:
-    """Text of an HTML page: no scripts, styles, comments or tags; common entities decoded."""
+    """Text of an HTML page: no scripts, styles, comments or tags; character references decoded."""
     c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</(?:script|style)\s*>", " ")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
     c = F.regexp_replace(c, r"<!?/?[A-Za-z][^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return squeeze(c)
+    return squeeze(unescaped(c))
 
 
 # ---- ids ------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
 from lectern import bindings as b
@@ -160,12 +162,17 @@ def ledger_summary(spark, sf):
     return ingest.scan_summary(b.table(spark, sf, "events").select(r.alias("result")))
 
 
-@query("library_admission", """WITH lib AS (SELECT CAST(sum(n_chars) AS BIGINT) AS library_bytes FROM documents)
-SELECT page_id AS id, library_bytes, library_bytes + length(html) <= 2412000 AS admitted FROM pages, lib""")
+@query("library_admission", """WITH RECURSIVE lib AS (SELECT CAST(sum(n_chars) AS BIGINT) AS held FROM documents), cap AS (SELECT (SELECT held FROM lib) + CAST(sum(length(html)) AS BIGINT) // 3 AS cap FROM pages),
+up AS MATERIALIZED (SELECT page_id AS id, CAST(length(html) AS BIGINT) AS size, row_number() OVER (ORDER BY page_id % 10, page_id) AS i FROM pages),
+walk(i, id, library_bytes, size, fits) AS (SELECT i, id, held, size, held + size <= cap FROM up, lib, cap WHERE i = 1
+  UNION ALL SELECT up.i, up.id, w.library_bytes + CASE WHEN w.fits THEN w.size ELSE 0 END, up.size, w.library_bytes + CASE WHEN w.fits THEN w.size ELSE 0 END + up.size <= cap FROM walk w JOIN up ON up.i = w.i + 1, cap)
+SELECT id, library_bytes, fits AS admitted FROM walk""")
 def library_admission(spark, sf):
-    uploads = b.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.length("html").cast("long").alias("size_bytes"))
+    """Every page as an upload, in the order of ten days; a third of their bytes still fit."""
+    uploads = b.table(spark, sf, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 10).alias("uploaded_at"), F.length("html").cast("long").alias("size_bytes"))
     stored = b.table(spark, sf, "documents").select(F.col("n_chars").alias("size_bytes"))
-    return files.library_admission(uploads, stored, 2412000).select("id", "library_bytes", "admitted")
+    held, coming = stored.agg(F.sum("size_bytes")).first()[0], uploads.agg(F.sum("size_bytes")).first()[0]
+    return files.library_admission(uploads, stored, held + coming // 3).select("id", "library_bytes", "admitted")
 
 
 @query("session_activity_window", f"""WITH {EV}, g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev),
@@ -182,20 +189,39 @@ def session_state(spark, sf):
 
 
 # ---- pages, references, generated texts -----------------------------------------
-ENT = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")]
+#: Characters of the code points 128 to 159 in web pages, by hand.
+HIGH = "€ \u0081 ‚ ƒ „ … † ‡ ˆ ‰ Š ‹ Œ \u008d Ž \u008f \u0090 ‘ ’ “ ” • – — ˜ ™ š › œ \u009d ž Ÿ".split(" ")
+
+
+def char_sql(n: str) -> str:
+    return (f"CASE WHEN {n} BETWEEN 128 AND 159 THEN ({q.words(HIGH)})[{n} - 127] WHEN {n} BETWEEN 1 AND 1114111 AND NOT {n} BETWEEN 55296 AND 57343 "
+            f"THEN chr(CAST({n} AS INTEGER)) ELSE chr(65533) END")
+
+
+def unescape_sql(x: str) -> str:
+    names = ", ".join(f"'{name}': {n}" for name, n in sorted(name2codepoint.items()))
+    dec, hexed, name = r"'^#([0-9]{1,9});?'", r"'^#[xX]([0-9a-fA-F]{1,8});?'", r"'^([A-Za-z][A-Za-z0-9]*);'"
+    part = (f"CASE WHEN regexp_matches(p, {dec}) THEN {char_sql(f'CAST(regexp_extract(p, {dec}, 1) AS BIGINT)')} || regexp_replace(p, {dec}, '') "
+            f"WHEN regexp_matches(p, {hexed}) THEN {char_sql(f"CAST('0x' || regexp_extract(p, {hexed}, 1) AS BIGINT)")} || regexp_replace(p, {hexed}, '') "
+            f"WHEN MAP {{{names}}}[regexp_extract(p, {name}, 1)] IS NOT NULL THEN chr(MAP {{{names}}}[regexp_extract(p, {name}, 1)]) || regexp_replace(p, {name}, '') ELSE '&' || p END")
+    return f"(string_split({x}, '&')[1] || array_to_string(list_transform(string_split({x}, '&')[2:], lambda p: {part}), ''))"
 
 
 def html_sql(x: str) -> str:
     x = rf"regexp_replace({x}, '(?is)<script\b[^>]*>.*?</(?:script|style)\s*>|<style\b[^>]*>.*?</(?:script|style)\s*>', ' ', 'g')"
     x = rf"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<!?/?[A-Za-z][^>]*>', ' ', 'g')"
-    for e, c in ENT:
-        x = f"replace({x}, '{e}', '{c}')"
-    return q.squeeze(x)
+    return x
+
+
+REFERENCES = """html || ' &#' || (page_id * 37 % 1200000) || '; &#x' || format('{:X}', page_id * 91 % 70000) || ';&mdash;&Eacute; &#' || (page_id % 400 + 127) || 'x &amp;lt; &nosuch; &'"""
 
 
-@query("html_to_text", f"SELECT page_id, {html_sql('html')} AS body FROM pages")
+@query("html_to_text", f"WITH t AS MATERIALIZED (SELECT page_id, {html_sql(REFERENCES)} AS t FROM pages), u AS MATERIALIZED (SELECT page_id, {unescape_sql('t')} AS t FROM t) SELECT page_id, {q.squeeze('t')} AS body FROM u")
 def html_to_text(spark, sf):
-    return b.table(spark, sf, "pages").select("page_id", tx.html_text(F.col("html")).alias("body"))
+    """Every page, with references of its own after it: decimal, hexadecimal, named, unterminated, escaped twice and broken ones."""
+    i = F.col("page_id")
+    more = F.concat(F.lit(" &#"), (i * 37 % 1200000).cast("string"), F.lit("; &#x"), F.hex(i * 91 % 70000), F.lit(";&mdash;&Eacute; &#"), (i % 400 + 127).cast("string"), F.lit("x &amp;lt; &nosuch; &"))
+    return b.table(spark, sf, "pages").select("page_id", tx.html_text(F.concat("html", more)).alias("body"))
 
 
 @query("url_classify", r"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'gs://' || split_part(url, '://', 2) WHEN 2 THEN 'https://drive.google.com/file/d/abcdefghij' || page_id || '/view'

@@ -22,7 +22,7 @@ EV = f"""ev AS MATERIALIZED (SELECT event_id AS id, user_id, json_extract_string
   user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, ts AS created_at, value FROM events)"""
 EFF = "eff(action, store, strength, decay) AS (VALUES " + q.rows(profiles.EFFECTS) + ")"
 BOOKS = f"""{STEMS}, {KEYS}, first AS (SELECT chunk_id, book_id, toks FROM tokened), {shares_sql('first', 'chunk_id', 'toks')},
-bf AS MATERIALIZED (SELECT book_id, ord, k, category, feature, avg(score) AS score FROM fs JOIN first USING (chunk_id) GROUP BY ALL)"""
+bf AS MATERIALIZED (SELECT book_id, ord, k, category, feature, round(avg(score), 9) AS score FROM fs JOIN first USING (chunk_id) GROUP BY ALL)"""
 DECAYED = """sum(ln(decay)) OVER (PARTITION BY user_id, store, key ORDER BY created_at DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 STORES = f"""{EV}, {EFF}, {BOOKS},
 se AS (SELECT user_id, store, CASE WHEN store = 'session' THEN session_id ELSE '' END AS key, book_id, created_at, id, strength, decay FROM ev JOIN eff USING (action)),

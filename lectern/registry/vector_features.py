@@ -83,6 +83,22 @@ def vector_neighbours(spark, sf):
     return top.select("query_id", long_int("rank"), "book_id", F.round("score", 4).alias("score"))
 
 
+@query("vector_gated_topk", """WITH e AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v, (['theme', 'title', 'mixed', 'entity', 'recommendation'])[1 + (vec_id // 10) % 5] AS qtype FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS book_id, greatest(3 * (2 + a.vec_id % 7), 4) AS reach, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM e a JOIN e b ON a.label <> b.label
+  WHERE a.vec_id % 10 = 0 AND a.qtype NOT IN ('title', 'entity') AND b.vec_id % 9 <> 4 AND NOT b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 60)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, book_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, book_id) AS rank FROM s) WHERE rank <= reach""")
+def vector_gated_topk(spark, sf):
+    """Every tenth vector asks for books of other labels: the gate takes its nearest ones, those it has seen and unknown books before the cut."""
+    e = b.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("kind"), vx.unit(F.col("embedding")).alias("vector"))
+    i = F.col("vec_id")
+    kinds = F.array(*[F.lit(x) for x in ("theme", "title", "mixed", "entity", "recommendation")])
+    asked = e.where(i % 10 == 0).select(i.alias("query_id"), "vector", F.get(kinds, (F.floor(i / 10) % 5).cast("int")).alias("qtype"), (2 + i % 7).alias("k"), F.array("kind").alias("barred"))
+    seen = asked.select("query_id", F.explode(F.sequence(F.col("query_id") + 1, F.col("query_id") + 60)).alias("book_id"))
+    known = e.where(i % 9 != 4).withColumnRenamed("vec_id", "book_id")
+    found = vectors.gated_nearest(asked, known, seen)
+    return found.select("query_id", long_int("rank"), "book_id", F.round("score", 4).alias("score"))
+
+
 @query("vector_pad_maxdim", """WITH v AS (SELECT vec_id, embedding[1:1 + (vec_id % 64)] AS s FROM embeddings), m AS (SELECT max(len(s)) AS d FROM v)
 SELECT vec_id, CAST(len(s) AS BIGINT) AS old_dim, CAST(d AS BIGINT) AS new_dim, round(list_sum(s::DOUBLE[]), 6) AS total FROM v, m""")
 def vector_pad_maxdim(spark, sf):
@@ -155,7 +171,7 @@ def book_feature_profile(spark, sf):
 
 @query("feature_richness", f"""WITH RECURSIVE {q.TOKENED}, {STEMS}, {KEYS},
 first AS (SELECT chunk_id, book_id, toks FROM tokened), {shares_sql('first', 'chunk_id', 'toks')},
-p AS (SELECT book_id, k, avg(score) AS score FROM fs JOIN first USING (chunk_id) GROUP BY ALL),
+p AS (SELECT book_id, k, round(avg(score), 9) AS score FROM fs JOIN first USING (chunk_id) GROUP BY ALL),
 r AS (SELECT book_id, round(sum(greatest(score, 0)), 6) AS richness FROM p GROUP BY book_id)
 SELECT book_id, richness, row_number() OVER (ORDER BY richness DESC, book_id) AS rank FROM r ORDER BY richness DESC, book_id LIMIT 18""")
 def feature_richness(spark, sf):
