@@ -147,7 +147,7 @@ def lm_rows(rows, training):
         if training(i):
             words.update(t)
             pairs.update(zip([0, *t], t))  # 0: the start
-    n, v, followers = sum(words.values()), len(words), Counter(h for h, _ in pairs)
+    n, v = sum(words.values()), len(words)
     middle = lambda c: (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0
     out = []
     for (i, _), t in zip(rows, tokens, strict=True):
@@ -155,16 +155,13 @@ def lm_rows(rows, training):
         score = 0.0
         for h, w in zip([0, *t], t):
             own, known = (middle(words[w]) + 0.5) / (n + 0.5 * (v + 1)), middle(words[h if h != 0 else None])
-            p = own
-            if known:
-                f = min(max(middle(followers[h]), 1), max(known, 1))
-                p = (min(middle(pairs[h, w]), known, middle(words[w])) + f * own) / (known + f)
+            p = (min(middle(pairs[h, w]), known, middle(words[w])) + lm.PRIOR * own) / (known + lm.PRIOR)
             score += math.log10(p)
         out.append((i, len(t), sum(words[w] > 0 for w in t), base, score))
     return n, out
 
 
-@pytest.mark.parametrize("broadcast_bytes, frequent, segment", [(1 << 27, 1 << 18, 2_000_000), (0, 20, 3000), (1 << 27, 0, 5000)])
+@pytest.mark.parametrize("broadcast_bytes, frequent, segment", [(1 << 27, 1 << 18, 16 << 20), (0, 20, 20_000), (1 << 27, 0, 50_000)])
 def test_scores(spark, monkeypatch, broadcast_bytes, frequent, segment):
     rows = [*DOCS, DOCS[0], (None, "a null id", "en", "src0", 1), (5000, "  lead\x0b\x0ctrail \x00 \x1c x\xa0y ", "en", "", 1)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("x")).withColumn("slice", F.lit(1)).repartition(3)
@@ -185,8 +182,8 @@ def test_scores(spark, monkeypatch, broadcast_bytes, frequent, segment):
 
 def test_routed_scores_are_the_same(spark):
     docs = spark.createDataFrame(DOCS, SCHEMA).repartition(4)
-    model = lm.fit(docs, segment=2000)
-    assert model.shape.segments > 10
+    model = lm.fit(docs, segment=20_000)
+    assert len(model.shape.widths) > 10
     near, far = (sorted(map(tuple, lm.scored(docs, model, broadcast_bytes=b).collect())) for b in (1 << 27, 0))
     assert near == far
 
@@ -196,11 +193,17 @@ def test_filter():
 
     rng = np.random.default_rng(2)
     key, level = rng.integers(0, 1 << 63, 4000).astype(np.uint64), rng.integers(1, 6, 4000)
-    shape = lm.Shape(1, int(level.sum()) * lm.BITS // 64 * 64)
-    bits = lm.filled(shape, key, level)
-    found = lm.levels(shape, bits, 0, key)
+    width = lm._width(int(level.sum()))
+    bits = lm.filled(width, key, level)
+
+    def levels(key):
+        return lm.levels(bits, key, np.zeros(len(key), np.int64), np.full(len(key), width, np.uint64))
+
+    found = levels(key)
     assert (found >= level).all() and (found > level).mean() < 0.02
-    assert (lm.levels(shape, bits, 0, rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.02
+    assert (levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.02
+    assert [int(x) for x in lm.level_of(np.array([0, 1, 2, 3, 4, 7, 8, 1 << 40]))] == [0, 1, 2, 2, 3, 3, 4, 41]
+    assert lm.expected(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
 
 
 def test_model_of_nothing(spark):
