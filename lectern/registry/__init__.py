@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search_terms", "vector_features", "title_queries", "passport_queries", "profile_queries", "product_queries", "search_queries", "stream_queries")
+MODULES = ("search_terms", "vector_features", "title_queries", "passport_queries", "profile_queries", "product_queries", "search_queries", "feed_queries", "stream_queries")
 
 
 def load():

@@ -133,9 +133,11 @@ def cos_sql(a: str, b_: str) -> str:
 SIMS = f"""{CAND}, sim AS MATERIALIZED (SELECT c.user_id, c.book_id, {cos_sql('bf.score', 'tc.p')} AS pos, {cos_sql('bf.score', 'tc.n')} AS neg,
   {cos_sql('bf.score', 'tc.rp')} - 0.45 * {cos_sql('bf.score', 'tc.rn')} AS recent, {cos_sql('bf.score', '(tc.rp - 0.7 * tc.rn)')} AS sess
   FROM cand c JOIN bf USING (book_id) JOIN tc ON tc.user_id = c.user_id AND tc.k = bf.k GROUP BY c.user_id, c.book_id)"""
-PAIRS = f"""{SIMS}, {AFF},
+def pairs_sql(sims: str = SIMS, named: str = "FALSE") -> str:
+    """Profile scores pm(user_id, book_id, mode, ps, ..) of the candidates; `named` tells whether the user named the genre of the book d."""
+    return f"""{sims}, {AFF},
 seen AS (SELECT DISTINCT user_id, book_id FROM ev), saved AS (SELECT DISTINCT user_id, book_id FROM ev WHERE action IN ('like', 'save')),
-pair0 AS (SELECT c.*, pos, neg, recent, sess, coalesce(ap.value, 0) AS apv, coalesce(an.value, 0) AS anv, coalesce(gp.value, 0) AS gpv, coalesce(gn.value, 0) AS gnv,
+pair0 AS (SELECT c.*, pos, neg, recent, sess, coalesce(ap.value, 0) AS apv, coalesce(an.value, 0) AS anv, coalesce(gp.value, 0) AS gpv, coalesce(gn.value, 0) AS gnv, {named} AS named,
     s.book_id IS NOT NULL AS seen, sv.book_id IS NOT NULL AS saved
   FROM cand c JOIN sim USING (user_id, book_id) JOIN docs d USING (book_id)
   LEFT JOIN aff ap ON ap.user_id = c.user_id AND ap.store = 'author_positive' AND ap.key = lower(d.author)
@@ -143,7 +145,7 @@ pair0 AS (SELECT c.*, pos, neg, recent, sess, coalesce(ap.value, 0) AS apv, coal
   LEFT JOIN aff gp ON gp.user_id = c.user_id AND gp.store = 'genre_positive' AND gp.key = lower(d.lang)
   LEFT JOIN aff gn ON gn.user_id = c.user_id AND gn.store = 'genre_negative' AND gn.key = lower(d.lang)
   LEFT JOIN seen s ON s.user_id = c.user_id AND s.book_id = c.book_id LEFT JOIN saved sv ON sv.user_id = c.user_id AND sv.book_id = c.book_id),
-pair AS MATERIALIZED (SELECT *, least(0.6, apv * 0.25) - least(0.8, anv * 0.3) AS aa, least(0.15, gpv * 0.08) - least(0.18, gnv * 0.1) AS ga, CASE WHEN seen THEN 0.35 ELSE 0 END AS sp FROM pair0),
+pair AS MATERIALIZED (SELECT *, least(0.6, apv * 0.25) - least(0.8, anv * 0.3) AS aa, CASE WHEN named THEN 0.2 ELSE 0 END + least(0.15, gpv * 0.08) - least(0.18, gnv * 0.1) AS ga, CASE WHEN seen THEN 0.35 ELSE 0 END AS sp FROM pair0),
 modes(mode) AS (VALUES ('similar'), ('new'), ('risk')),
 pm AS MATERIALIZED (SELECT pair.*, mode, CAST(round(CAST(CASE mode
   WHEN 'new' THEN 0.38 * pos + 0.16 * recent + 0.28 * greatest(0, 1 - pos) - 0.22 * neg + 0.08 * sess + 0.08 * aa + 0.08 * ga - sp
@@ -151,6 +153,9 @@ pm AS MATERIALIZED (SELECT pair.*, mode, CAST(round(CAST(CASE mode
   ELSE 0.58 * pos + 0.2 * recent + 0.1 * sess + 0.08 * aa + 0.1 * ga - 0.32 * neg - sp END AS DECIMAL(28, 10)), 6) AS DOUBLE) AS ps FROM pair, modes)"""
 
 
+PAIRS = pairs_sql()
+
+
 def candidates(spark, sf):
     ev = b.interactions(spark, sf)
     book = F.when(F.col("id") % 2 == 1, (F.col("book_id").cast("int") + 50).cast("string")).otherwise(F.col("book_id"))
@@ -199,19 +204,24 @@ def feed_minmax(spark, sf):
     return feed.min_max(candidates(spark, sf), "search_score", "search_norm", "user_id").select("user_id", "book_id", F.round("search_norm", 6).alias("search_norm"))
 
 
-FEED = f"""{PAIRS},
+def feed_sql(pairs: str = PAIRS, match: str = "0") -> str:
+    """Ranked feeds fk(user_id, book_id, score, place, total); `match` is the query match of a row of f3."""
+    return f"""{pairs},
 f0 AS (SELECT * FROM pm WHERE mode = {MODE}),
 f1 AS (SELECT *, CASE WHEN max(search_score) OVER w - min(search_score) OVER w <= 1e-9 THEN CASE WHEN max(search_score) OVER w > 0 THEN 1 ELSE 0 END
   ELSE (search_score - min(search_score) OVER w) / nullif(max(search_score) OVER w - min(search_score) OVER w, 0) END AS sn FROM f0 WINDOW w AS (PARTITION BY user_id)),
 f2 AS (SELECT *, greatest(0, least((ps + 1) / 2, 1)) AS pn, CASE WHEN seen THEN 0.24 ELSE 0 END AS sp2,
-  CAST(round(CAST(greatest(-1, least(1, least(0.6, apv * 0.25) - least(0.7, anv * 0.3))) AS DECIMAL(28, 10)), 6) AS DOUBLE) AS ab, CAST(round(CAST(greatest(-1, least(1, least(0.3, gpv * 0.12) - least(0.35, gnv * 0.15))) AS DECIMAL(28, 10)), 6) AS DOUBLE) AS gb,
+  CAST(round(CAST(greatest(-1, least(1, least(0.6, apv * 0.25) - least(0.7, anv * 0.3))) AS DECIMAL(28, 10)), 6) AS DOUBLE) AS ab, CAST(round(CAST(greatest(-1, least(1, CASE WHEN named THEN 0.55 ELSE 0 END + least(0.3, gpv * 0.12) - least(0.35, gnv * 0.15))) AS DECIMAL(28, 10)), 6) AS DOUBLE) AS gb,
   CAST(round(CAST(least(1, 0.58 * greatest(0, recent) + 0.42 * greatest(0, sess)) AS DECIMAL(28, 10)), 6) AS DOUBLE) AS fa FROM f1),
 f3 AS (SELECT *, CAST(round(CAST(CASE mode WHEN 'new' THEN 0.6 * CASE WHEN sp2 > 0 THEN 0 ELSE 1 END + 0.35 * greatest(0, 1 - pn)
   WHEN 'risk' THEN 0.75 * greatest(0, 1 - abs(pn - 0.45)) + 0.2 * CASE WHEN sp2 > 0 THEN 0 ELSE 1 END ELSE 0.15 * CASE WHEN sp2 > 0 THEN 0 ELSE 1 END + 0.05 * greatest(0, 1 - pn) END AS DECIMAL(28, 10)), 6) AS DOUBLE) AS xb FROM f2),
-fr AS MATERIALIZED (SELECT *, CAST(round(CAST(0.35 * sn + 0.25 * pn + 0.08 * greatest(0, ab) + 0.08 * greatest(0, gb) + 0.1 * fa + 0.06 * xb - sp2 AS DECIMAL(28, 10)), 6) AS DOUBLE) AS score FROM f3),
+fr AS MATERIALIZED (SELECT *, CAST(round(CAST(0.35 * sn + 0.25 * pn + 0.08 * ({match}) + 0.08 * greatest(0, ab) + 0.08 * greatest(0, gb) + 0.1 * fa + 0.06 * xb - sp2 AS DECIMAL(28, 10)), 6) AS DOUBLE) AS score FROM f3),
 fk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS place, count(*) OVER (PARTITION BY user_id) AS total FROM fr)"""
 
 
+FEED = feed_sql()
+
+
 def requests(spark, sf, offset=0, limit=10, exclude=None, mode=None):
     """One profile feed request per user of the log."""
     users = b.table(spark, sf, "events").select("user_id").distinct()
