@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lectern.operators import product
-from lectern.operators.profiles import EFFECTS
+from lectern.operators import product, profiles
+from lectern.streaming import tables
 
 STORES = ("positive", "negative", "recent_positive", "recent_negative")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -20,54 +19,44 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class TasteState(StatefulProcessor):
-    """Keeps the four decayed feature stores of a user and one vector per session.
+#: A user's decayed feature stores, by name and, for sessions, their key.
+TASTE = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("store", T.StringType()), T.StructField("key", T.StringType()), T.StructField("scores", T.ArrayType(T.DoubleType()))])
+
+
+def composed(events: DataFrame, books: DataFrame, size: int) -> DataFrame:
+    """(user_id, store, key, decay, shift): what a batch does to each store, as one step: the store times `decay`, plus `shift`.
 
-    Rows of a micro-batch are applied in (created_at, id) order. The result row of a
-    user is its state after the batch.
+    Each event is such a step, and steps put one after the other are one again. Spark composes them per user, day and
+    store, so a user with very many events in a batch is not one task's work.
     """
+    known = events.join(books.select("book_id"), "book_id", "left_semi")
+    shift = profiles.feature_stores(known, books, size).withColumnRenamed("scores", "shift")
+    decay = profiles.store_effects(known).groupBy("user_id", "store", "key").agg(F.exp(F.sum(F.log("decay"))).alias("decay"))
+    return shift.join(decay, ["user_id", "store", "key"])
 
-    def __init__(self, size: int):
-        self.size = size
-        self.effects: dict[str, list[tuple[str, float, float]]] = {}
-        for action, store, strength, decay in EFFECTS:
-            self.effects.setdefault(action, []).append((store, strength, decay))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stores = handle.getMapState("stores", "store string", "v array<double>")
-        self.sessions = handle.getMapState("sessions", "session string", "v array<double>")
-        self.count = handle.getValueState("count", "n long")
+def fold_taste(events: DataFrame, batch: int, path: str, books: DataFrame, size: int, buckets: int = tables.BUCKETS) -> list[int]:
+    """Bring the taste table at `path` up to date with a batch of events: one update per user and store. Returns the buckets rewritten."""
+    steps = composed(events, books, size)
+    schema = T.StructType([*TASTE.fields, T.StructField("decay", T.DoubleType())])
 
-    def _blend(self, state, key, strength, decay, features):
-        old = state.getValue((key,))[0] if state.containsKey((key,)) else [0.0] * self.size
-        state.updateValue((key,), ([o * decay + f * strength for o, f in zip(old, features)],))
+    def combine(name: str):
+        if name != "scores":
+            return F.col(f"new.{name}")
+        return F.when(F.col("old").isNull(), F.col("new.scores")).otherwise(F.zip_with("old.scores", "new.scores", lambda o, n: o * F.col("new.decay") + n))
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["created_at", "id"])
-        n = self.count.get()[0] if self.count.exists() else 0
-        for action, session, features in zip(batch["action"], batch["session_id"], batch["scores"]):
-            n += 1
-            for store, strength, decay in self.effects.get(action, ()):
-                if store != "session":
-                    self._blend(self.stores, store, strength, decay, features)
-                elif session:
-                    self._blend(self.sessions, session, strength, decay, features)
-        self.count.update((n,))
-        stored = {k[0]: v[0] for k, v in self.stores.iterator()}
-        out = {"user_id": [key[0]], "n_events": [n]}
-        for s in STORES:
-            out[s] = [list(stored.get(s, [0.0] * self.size))]
-        yield pd.DataFrame(out)
+    return tables.merged(steps.withColumnRenamed("shift", "scores"), path, schema, ["user_id", "store", "key"], batch, combine, buckets)
 
-    def close(self) -> None:
-        pass
+
+def stored_taste(spark: SparkSession, path: str) -> DataFrame:
+    """The taste table as (user_id, store, key, scores)."""
+    return tables.read(spark, path, T.StructType([*TASTE.fields, T.StructField("decay", T.DoubleType())])).select(*TASTE.names)
 
 
-def taste_stream(events: DataFrame, books: DataFrame, size: int, user_type: str = "long") -> DataFrame:
-    """Streaming (user_id, n_events, four stores) from interactions joined with the static book features."""
-    rows = events.join(books.select("book_id", "scores"), "book_id").select("user_id", "id", "created_at", "action", "session_id", "scores")
-    schema = f"user_id {user_type}, n_events long, " + ", ".join(f"{s} array<double>" for s in STORES)
-    return rows.groupBy("user_id").transformWithStateInPandas(TasteState(size), outputStructType=schema, outputMode="Update", timeMode="None")
+def taste_stream(events: DataFrame, books: DataFrame, size: int, path: str, checkpoint: str, trigger: dict | None = None):
+    """Follow a stream of interactions with the taste table. A replayed batch is applied once."""
+    return events.writeStream.foreachBatch(lambda batch, n: fold_taste(batch, n, path, books, size)).option(
+        "checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 
 class SessionState(StatefulProcessor):
