@@ -20,8 +20,12 @@ KEY = ("doc_id", "h", "line")
 
 
 def windows(words: Column) -> Column:
-    """64-bit hashes of the shingles of five words of a line; of a shorter line the hash of all its words."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+    """64-bit hashes of the shingles of five words of a line, from a hash of each word; of a shorter line the hash of all its words."""
+    def of(hashes):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - SHINGLE, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(SHINGLE)]))  # a missing word changes no hash
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
