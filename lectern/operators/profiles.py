@@ -12,6 +12,7 @@ from lectern.functions.vectors import settled
 from lectern.lexicon import ACTION_STRENGTH, ACTIONS, Lexicon, RUSSIAN
 from lectern.operators import features, titles
 from lectern.operators.terms import top_per
+from lectern.session import stage
 
 POSITIVE, NEGATIVE, FAVORITE = ("save", "swipe_right"), ("swipe_left",), ("like", "save")
 STORES = ("positive", "negative", "recent_positive", "recent_negative")
@@ -88,6 +89,18 @@ def feature_stores(events: DataFrame, books: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("user_id", "store", "key").agg(F.array(*sums).alias("scores"))
 
 
+def composed(events: DataFrame, books: DataFrame, size: int) -> DataFrame:
+    """(user_id, store, key, decay, shift): what a batch does to each store, as one step: the store times `decay`, plus `shift`.
+
+    Each event is such a step, and steps put one after the other are one again. Spark composes them per user, day and
+    store, so a user with very many events in a batch is not one task's work.
+    """
+    known = events.join(books.select("book_id"), "book_id", "left_semi")
+    shift = feature_stores(known, books, size).withColumnRenamed("scores", "shift")
+    decay = store_effects(known).groupBy("user_id", "store", "key").agg(F.exp(F.sum(F.log("decay"))).alias("decay"))
+    return shift.join(decay, ["user_id", "store", "key"])
+
+
 def affinities(events: DataFrame, books: DataFrame) -> DataFrame:
     """(user_id, store, key, value): author_/genre_ positive/negative affinities; only the touched key decays."""
     strength = F.create_map(*[F.lit(x) for kv in ACTION_STRENGTH.items() for x in kv])
@@ -253,6 +266,51 @@ def from_onboarding(onboarding: DataFrame, keys: DataFrame, books: DataFrame, le
     return stores, parts.groupBy("user_id", "store", "key").agg(F.sum("value").alias("value"))
 
 
+def _times(factor: Column):
+    return lambda x: x * factor
+
+
+ONBOARDED, ONBOARDING_DECAY = ("positive", "negative"), 0.92  # fixed: the stores that answers are blended into, and what they leave of what was there
+
+
+def rebuilt(stored: DataFrame, onboarding: DataFrame, events: DataFrame, books: DataFrame, keys: DataFrame, lex: Lexicon = RUSSIAN, fuzzy: bool = True) -> DataFrame:
+    """One row per user known to any of the three tables: the four stores, counters, what the user named, and where the row comes from.
+
+    `stored` is the last snapshot: user_id, the four stores, counters (map), preferred_genres, preferred_authors, complete and recomputed_at; `onboarding`
+    the answers, `events` the whole log. Field by field: stores start from the snapshot, else from nothing; answers are blended in
+    where there is no snapshot or it lacks fields; then the events since the snapshot follow, composed per user and store. Counters are those of the
+    snapshot and of the events since; named genres and authors come from the answers if blended in, else from the snapshot.
+    """
+    c, size = F.col, len(lex.feature_keys())
+    zero = F.array_repeat(F.lit(0.0), size)
+    none = F.array().cast("array<string>")
+    marks = stored.select("user_id", "recomputed_at")
+    late = events.join(marks, "user_id", "left").where(c("recomputed_at").isNull() | (c("created_at") > c("recomputed_at"))).select(*events.columns)
+    late = stage(late, "late-events")
+    answers, _ = from_onboarding(onboarding, keys, books, lex, fuzzy)
+    new = answers.groupBy("user_id").agg(*[F.max(F.when(c("store") == s, c("scores"))).alias(f"on_{s}") for s in ONBOARDED])
+    steps = composed(late, books, size)
+    folds = steps.groupBy("user_id").agg(*[F.max(F.when(c("store") == s, F.struct("decay", "shift"))).alias(f"by_{s}") for s in STORES])
+    since = late.groupBy("user_id").agg(*[F.count_if(c("action") == a).alias(f"n_{a}") for a in ACTIONS])
+    labels = lambda f: tx.unique_labels(c(f), 10)
+    said = onboarding.select("user_id", labels("favorite_genres").alias("said_genres"), labels("favorite_authors").alias("said_authors"), F.lit(True).alias("answered"))
+    p = stored.join(said, "user_id", "full_outer").join(since, "user_id", "full_outer").join(new, "user_id", "left").join(folds, "user_id", "left")
+    p = p.withColumn("blend", c("answered").isNotNull() & ~F.coalesce("complete", F.lit(False)))
+    for s in STORES:
+        base = F.coalesce(c(s), zero)
+        if s in ONBOARDED:
+            base = F.when(c("blend"), mix(base, ONBOARDING_DECAY, F.coalesce(f"on_{s}", zero), 1.0)).otherwise(base)
+        moved = mix(F.transform(s, _times(c(f"by_{s}.decay"))), 1.0, c(f"by_{s}.shift"), 1.0)
+        p = p.withColumn(s, base).withColumn(s, F.when(c(f"by_{s}").isNull(), c(s)).otherwise(moved))
+    count = lambda a: F.coalesce(F.try_element_at("counters", F.lit(a)), F.lit(0)) + F.coalesce(f"n_{a}", F.lit(0))
+    counts = F.map_from_arrays(F.array(*[F.lit(a) for a in ACTIONS]), F.array(*[count(a).cast("long") for a in ACTIONS]))
+    named = lambda said_, kept: F.when(c("blend"), c(said_)).otherwise(F.coalesce(c(kept), none))
+    fresh = F.greatest(*[F.coalesce(f"n_{a}", F.lit(0)) for a in ACTIONS]) > 0
+    source = F.concat_ws("+", F.when(c("recomputed_at").isNotNull(), "snapshot"), F.when(c("blend"), "onboarding"), F.when(fresh, "events"))
+    return p.select("user_id", *STORES, counts.alias("counters"), named("said_genres", "preferred_genres").alias("preferred_genres"),
+                    named("said_authors", "preferred_authors").alias("preferred_authors"), source.alias("source"))
+
+
 def ensured(users: DataFrame, stored: DataFrame, size: int) -> DataFrame:
     """A profile for every user: the stored one, else zeros."""
     zero = F.array_repeat(F.lit(0.0), size)

@@ -8,7 +8,7 @@ from lectern import bindings as b
 from lectern.functions import text as tx
 from lectern.functions.vectors import settled
 from lectern.lexicon import ACTION_STRENGTH, ACTIONS, LATIN
-from lectern.operators import features, product, profiles
+from lectern.operators import features, product, profiles, titles
 from lectern.plans import feed
 from lectern.registry import sql as q
 from lectern.registry.base import query
@@ -326,3 +326,68 @@ def candidate_union_merge(spark, sf):
                      snip.alias("snippet"), F.col("event_type").alias("matched_query"), src.alias("source"))
     m = feed.merge_candidates(rows)
     return m.select("req_id", "book_id", "search_score", "snippet", F.array_join("matched_queries", "|").alias("matched"))
+
+
+# ---- profile life cycle ----------------------------------------------------------
+TAGS = {0: ("that", "ORRE"), 1: ("inor", "sich")}  # favourite tags of the answers, by user
+
+
+def onboarding(spark, sf):
+    """Answers of every second user: tags, a tag to avoid, a language and a source."""
+    none = F.array().cast("array<string>")
+    u = b.table(spark, sf, "events").select("user_id").distinct().where("user_id % 2 = 0")
+    tags = F.when(F.col("user_id") % 4 == 0, F.array(*[F.lit(x) for x in TAGS[0]])).otherwise(F.array(*[F.lit(x) for x in TAGS[1]]))
+    lang = F.get(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), (F.col("user_id") % 3).cast("int"))
+    return u.select("user_id", tags.alias("favorite_moods"), none.alias("favorite_atmosphere"), none.alias("favorite_tone"), none.alias("favorite_style"), none.alias("favorite_plot"),
+                    F.array(F.lit("ench")).alias("avoid_tags"), none.alias("favorite_books"), F.array(lang, F.upper(lang)).alias("favorite_genres"), F.array(F.lit("src1")).alias("favorite_authors"))
+
+
+CUT = "cutoff AS (SELECT TIMESTAMP '2024-01-18 00:00:00' AS t)"
+
+
+def snapshots(ev, bk):
+    """Snapshots of every third user as of a day within the log; those of every sixth lack fields."""
+    cut = F.lit("2024-01-18").cast("timestamp")
+    early = stage(ev.where((F.col("user_id") % 3 == 0) & (F.col("created_at") <= cut)), "early-events")
+    t = profiles.taste(profiles.feature_stores(early, bk, NF), NF)
+    counts = F.map_from_arrays(F.array(*[F.lit(a) for a in ACTIONS]), F.array(*[F.col(a) for a in ACTIONS]))
+    s = profiles.ensured(early, t, NF).join(profiles.counters(early).select("user_id", counts.alias("counters")), "user_id")
+    one = lambda x: F.array(F.lit(x))
+    return s.withColumn("preferred_genres", one("old")).withColumn("preferred_authors", one("older")).withColumn("complete", F.col("user_id") % 6 != 0).withColumn("recomputed_at", cut)
+
+
+def lives(spark, sf):
+    ev = b.interactions(spark, sf)
+    bk = stage(books(spark, sf), "books")
+    keys = titles.title_keys(b.catalog(spark, sf))
+    return stage(profiles.rebuilt(stage(snapshots(ev, bk), "snapshots"), onboarding(spark, sf), ev, bk, keys, LATIN, fuzzy=False), "profiles")
+
+
+ADDED = "coalesce(st.v, 0) + CASE WHEN blend AND store IN ('positive', 'negative') THEN coalesce(ld.d, 1) * (coalesce(ob.v, 0) - 0.08 * coalesce(es.v, 0)) ELSE 0 END"
+
+
+@query("profile_snapshot", f"""WITH RECURSIVE {q.TOKENED}, {STORES}, {CUT},
+old AS (SELECT DISTINCT user_id FROM ev, cutoff WHERE user_id % 3 = 0 AND created_at <= t), fx AS (SELECT * FROM se SEMI JOIN bf USING (book_id)),
+ew AS (SELECT *, strength * exp(coalesce({DECAYED}, 0)) AS weight FROM (SELECT fx.* FROM fx SEMI JOIN old USING (user_id), cutoff WHERE created_at <= t)),
+es AS (SELECT user_id, store, k, sum(weight * score) AS v FROM ew JOIN bf USING (book_id) WHERE store <> 'session' GROUP BY ALL),
+ld AS (SELECT user_id, store, exp(sum(ln(decay))) AS d FROM fx, cutoff WHERE store <> 'session' AND (NOT EXISTS (SELECT 1 FROM old WHERE old.user_id = fx.user_id) OR created_at > t) GROUP BY ALL),
+ob AS (SELECT DISTINCT user_id, 'positive' AS store, unnest(CASE WHEN user_id % 4 = 0 THEN ['mood.that', 'plot.orre'] ELSE ['atmosphere.inor', 'style.sich'] END) AS k, 0.3::DOUBLE AS v FROM ev WHERE user_id % 2 = 0
+  UNION ALL SELECT DISTINCT user_id, 'negative', 'characters.ench', 0.27::DOUBLE FROM ev WHERE user_id % 2 = 0),
+us AS (SELECT DISTINCT user_id, user_id % 2 = 0 AND (user_id % 6 = 0 OR user_id NOT IN (SELECT user_id FROM old)) AS blend FROM ev),
+cells AS (SELECT user_id, blend, store, k FROM us, (VALUES ('positive'), ('negative'), ('recent_positive'), ('recent_negative')) s(store), keys)
+SELECT user_id, store, k AS feature, {q.rnd(ADDED)} AS value FROM cells LEFT JOIN st USING (user_id, store, k) LEFT JOIN es USING (user_id, store, k) LEFT JOIN ob USING (user_id, store, k) LEFT JOIN ld USING (user_id, store)""")
+def profile_snapshot(spark, sf):
+    """The stores of every user, rebuilt from snapshots of some, answers of some and the log."""
+    rows = lives(spark, sf).select("user_id", F.explode(F.array(*[F.struct(F.lit(s).alias("store"), F.col(s).alias("scores")) for s in profiles.STORES])).alias("s"))
+    return long_rows(rows.select("user_id", "s.store", "s.scores"), ["user_id", "store"])
+
+
+@query("profile_summary", f"""WITH {EV}, {CUT}, old AS (SELECT DISTINCT user_id FROM ev, cutoff WHERE user_id % 3 = 0 AND created_at <= t),
+u AS (SELECT user_id, {', '.join(f"count(*) FILTER (WHERE action = '{a}') AS {a}" for a in ACTIONS)}, count(*) FILTER (WHERE created_at > t) AS late FROM ev, cutoff GROUP BY user_id),
+w AS (SELECT u.*, old.user_id IS NOT NULL AS kept, u.user_id % 2 = 0 AND (old.user_id IS NULL OR u.user_id % 6 = 0) AS blend FROM u LEFT JOIN old ON old.user_id = u.user_id)
+SELECT user_id, {', '.join(f'"{a}"' for a in ACTIONS)}, CASE WHEN blend THEN (['en', 'de', 'fr'])[1 + user_id % 3] WHEN kept THEN 'old' ELSE '' END AS genres, CASE WHEN blend THEN 'src1' WHEN kept THEN 'older' ELSE '' END AS authors,
+  concat_ws('+', CASE WHEN kept THEN 'snapshot' END, CASE WHEN blend THEN 'onboarding' END, CASE WHEN NOT kept OR late > 0 THEN 'events' END) AS source FROM w""")
+def profile_summary(spark, sf):
+    """Counters, named genres and authors and the origin of every rebuilt profile."""
+    p = lives(spark, sf)
+    return p.select("user_id", *[F.col("counters")[a].alias(a) for a in ACTIONS], F.array_join("preferred_genres", "|").alias("genres"), F.array_join("preferred_authors", "|").alias("authors"), "source")

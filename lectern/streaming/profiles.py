@@ -23,21 +23,9 @@ def use_rocksdb(spark) -> None:
 TASTE = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("store", T.StringType()), T.StructField("key", T.StringType()), T.StructField("scores", T.ArrayType(T.DoubleType()))])
 
 
-def composed(events: DataFrame, books: DataFrame, size: int) -> DataFrame:
-    """(user_id, store, key, decay, shift): what a batch does to each store, as one step: the store times `decay`, plus `shift`.
-
-    Each event is such a step, and steps put one after the other are one again. Spark composes them per user, day and
-    store, so a user with very many events in a batch is not one task's work.
-    """
-    known = events.join(books.select("book_id"), "book_id", "left_semi")
-    shift = profiles.feature_stores(known, books, size).withColumnRenamed("scores", "shift")
-    decay = profiles.store_effects(known).groupBy("user_id", "store", "key").agg(F.exp(F.sum(F.log("decay"))).alias("decay"))
-    return shift.join(decay, ["user_id", "store", "key"])
-
-
 def fold_taste(events: DataFrame, batch: int, path: str, books: DataFrame, size: int, buckets: int = tables.BUCKETS) -> list[int]:
     """Bring the taste table at `path` up to date with a batch of events: one update per user and store. Returns the buckets rewritten."""
-    steps = composed(events, books, size)
+    steps = profiles.composed(events, books, size)
     schema = T.StructType([*TASTE.fields, T.StructField("decay", T.DoubleType())])
 
     def combine(name: str):
