@@ -12,7 +12,8 @@ SHINGLE = 5
 #: Jaccard similarity of at least 4/5, kept as whole numbers so that no rounding decides.
 OVER, UNDER = 4, 5
 COUNTERS = 1 << 18  # of the rarity sketch
-FILTER = 1 << 20  # cells of the filters on set ids and documents
+FILTER = 1 << 20  # cells of the filter on documents
+BITMAP, CELLS = 1 << 15, 1 << 26  # bits of one bitmap and of all, in the filter on set ids: 8 MB
 SIZE = (1 << 20) - 1  # bits of a set id that hold its size, so that sizes can be compared before sets are
 NO_ID = (1 << 63) - 1
 LOW = (1 << 32) - 1
@@ -87,16 +88,24 @@ def _alike(overlap, n, m):
     return (OVER + UNDER) * overlap >= OVER * (n + m)
 
 
-def _flagged(ids: DataFrame) -> DataFrame:
-    """The cells of a fixed-size filter that ids fall into: at most `FILTER` rows."""
-    return ids.select(F.pmod(F.shiftright("id", 20), F.lit(FILTER)).alias("cell")).distinct()
+def _cell() -> Column:
+    return F.pmod(F.shiftright("id", 20), F.lit(CELLS))
+
+
+def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets whose id is among `ids`, as far as a filter of `CELLS` bits can tell; its bitmaps, 2048 at most, are sent to every task."""
+    bits = ids.select(_cell().alias("cell")).select(F.floor(F.col("cell") / BITMAP).alias("bitmap"), (F.col("cell") % BITMAP).alias("place"))
+    bits = stage(bits.groupBy("bitmap").agg(F.bitmap_construct_agg("place").alias("bits")), "line-cells")
+    some = sets.withColumn("id", set_id(F.col("d1"), F.col("n"))).withColumn("cell", _cell())
+    some = some.withColumn("bitmap", F.floor(F.col("cell") / BITMAP)).withColumn("place", (F.col("cell") % BITMAP).cast("int")).join(F.broadcast(bits), "bitmap")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("place", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return some.where(F.call_function("shiftright", byte, F.col("place").bitwiseAND(7)).bitwiseAND(1) == 1).drop("cell", "bitmap", "place", "bits")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """d1, d2, id of the later set of each pair (a, b) of ids that is alike. Only sets that pass the filter on ids are shuffled."""
     pairs = stage(pairs, "line-pairs")
-    cells = stage(_flagged(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "line-cells")
-    some = sets.withColumn("cell", F.pmod(F.shiftright("d1", 20), F.lit(FILTER))).join(F.broadcast(cells), "cell")
+    some = _among(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     some = some.groupBy("d1", "d2").agg(F.min(F.struct(*KEY)).alias("key"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     some = some.withColumn("id", set_id(F.col("d1"), F.col("n")))
     left, right = (some.select(*[F.col(c).alias(f"{side}_{c}") for c in some.columns]) for side in ("a", "b"))
@@ -123,7 +132,8 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     # The one large shuffle has a token, an id that tells the size, and a position.
     posted = firsts.where(f"n >= {OVER}").select(F.posexplode("prefix").alias("pos", "token"), set_id(F.col("d1"), F.col("n")).alias("id"))
     posted = posted.select("token", "id", "pos").repartition("token")
-    heads = posted.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("other")).where("head <> other").select("token", "head")
+    # The set with the fewest rarer tokens has least of its own beside what it shares, so most near copies of it are alike to it.
+    heads = posted.groupBy("token").agg(F.min(F.struct("pos", "id"))["id"].alias("head"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("token", "head")
     met = stage(posted.join(heads.hint("shuffle_hash"), "token"), "line-met")
 
     settled = stage(_verified(met.where(F.col("id") != F.col("head")).where(_near_in_size(F.col("id"), F.col("head"))).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), sets), "line-settled")
