@@ -232,13 +232,14 @@ def scene_gate(spark, sf):
     return found.select("book_id", "l.label", "l.score", (F.col("i") + 1).cast("long").alias("rank"))
 
 
-@query("feature_key_lookup", f"""WITH {KEYS}, p AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS probe FROM part
-  UNION ALL SELECT -1 - vec, feature FROM (SELECT ord AS vec, feature FROM keys)),
-h AS (SELECT p_partkey, k, row_number() OVER (PARTITION BY p_partkey ORDER BY ord) AS rn FROM p JOIN keys
+@query("feature_key_lookup", f"""WITH {KEYS}, p AS (SELECT p_partkey AS id, CAST(i - 1 AS BIGINT) AS pos, lower(w) AS probe FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part)
+  UNION ALL SELECT -1 - ord, 0, feature FROM keys),
+h AS (SELECT id, pos, k, row_number() OVER (PARTITION BY id, pos ORDER BY ord) AS rn FROM p JOIN keys
   ON probe = feature OR probe = k OR contains(feature, probe) OR contains(probe, feature))
-SELECT CAST(p_partkey AS BIGINT) AS id, k AS feature_key FROM p LEFT JOIN (SELECT * FROM h WHERE rn = 1) USING (p_partkey)""")
+SELECT CAST(id AS BIGINT) AS id, pos, k AS feature_key FROM p LEFT JOIN (SELECT * FROM h WHERE rn = 1) USING (id, pos)""")
 def feature_key_lookup(spark, sf):
-    parts = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[0].alias("probe"))
-    names = [(-1 - i, k.split(".", 1)[1]) for i, k in enumerate(LATIN.feature_keys())]
-    probes = parts.unionByName(spark.createDataFrame(names, "id long, probe string"))
-    return probes.select("id", features.feature_key(F.col("probe"), LATIN).alias("feature_key"))
+    """Every word of every part name, and every feature name, as a free-text label."""
+    parts = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.split("p_name", " ")).alias("pos", "probe"))
+    names = [(-1 - i, 0, k.split(".", 1)[1]) for i, k in enumerate(LATIN.feature_keys())]
+    probes = parts.unionByName(spark.createDataFrame(names, "id long, pos int, probe string"))
+    return probes.select("id", F.col("pos").cast("long").alias("pos"), features.feature_key(F.col("probe"), LATIN).alias("feature_key"))
