@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 
+# Formats taken in, and paths of shared documents.
 SUPPORTED = ("txt", "fb2", "pdf", "epub", "zip")
 DRIVE_PATHS = r"/(?:file|document|spreadsheets|presentation)/d/([a-zA-Z0-9_-]{10,})"
 
