@@ -14,6 +14,7 @@ from lectern.registry import sql as q
 from lectern.registry.base import query
 from lectern.registry.profile_queries import EV
 from lectern.registry.search_terms import long_int
+from lectern.session import spread
 from lectern.sources import files, references
 from lectern.streaming import ingest
 from lectern.streaming import profiles as live
@@ -252,7 +253,7 @@ def page_keys(spark, sf):
 
 @query("json_repair", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind FROM events""")
 def json_repair(spark, sf):
-    ev = b.table(spark, sf, "events")
+    ev = spread(b.table(spark, sf, "events").select("event_id", "event_type", "props"))
     deep = '{"a":' * 10 + '"}{ \\\\ \\" }"' + "}" * 10
     note = F.concat(F.lit("a } b "), F.lit('{x\\" ' * 5), F.repeat(F.lit("word "), 1500))  # long, with escapes
     body = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', “kind”: {"name": "'), F.col("event_type"), F.lit('", "deep": ' + deep + ', "note": "'), note, F.lit('",},}'))
