@@ -18,7 +18,8 @@ SEED = 42
 BITS = 64
 BLOCKS = 5
 DISTANCE = 2
-SLICE = 1 << 18  # hashes counted at once
+SLICE = 1 << 14  # hashes counted at once, so their bits take a megabyte
+TEXTS = 1 << 8  # texts a task holds at once outside Arrow
 HOT = 64  # fingerprints of one block that are still compared pair by pair
 
 
@@ -46,10 +47,13 @@ def _fingerprints(texts, shingle: int) -> np.ndarray:
         joined = b" ".join(words)
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
-        spans = list(zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist(), strict=True)) if len(words) > shingle else [(0, len(joined))]
-        sizes[k] = len(spans)
-        for low in range(0, len(spans), SLICE):
-            part = spans[low:low + SLICE]
+        if len(words) > shingle:
+            starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1:]
+        else:
+            starts, ends = np.array([0]), np.array([len(joined)])
+        sizes[k] = len(starts)
+        for low in range(0, len(starts), SLICE):
+            part = list(zip(starts[low:low + SLICE].tolist(), ends[low:low + SLICE].tolist(), strict=True))
             hashed.extend([digest(joined[a:b], SEED) for a, b in part])
             owners.append((k, len(part)))
             if len(hashed) >= SLICE:
@@ -64,8 +68,10 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
 
     def run(batches):
         for batch in batches:
-            fp = _fingerprints(batch.column("text").to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
+                fp = _fingerprints(part.column("text").to_pylist(), shingle)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 

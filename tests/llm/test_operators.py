@@ -388,3 +388,16 @@ def test_hard_inputs(spark, name):
     assert plain_rows == wide_rows
     if name not in ("packing", "mixing", "representatives", "accepted"):
         assert len(plain_rows) == len(rows)
+
+
+def test_simhash_of_long_texts_holds_few_hashes():
+    import tracemalloc
+
+    from lectern.llm import simhash
+
+    text = " ".join(f"w{i % 7919}" for i in range(200_000))
+    tracemalloc.start()
+    simhash._fingerprints([text], 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
