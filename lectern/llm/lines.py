@@ -102,6 +102,20 @@ def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return some.where(F.call_function("shiftright", byte, F.col("place").bitwiseAND(7)).bitwiseAND(1) == 1).drop("cell", "bitmap", "place", "bits")
 
 
+def parity(tokens: Column, half: int) -> Column:
+    """Half of a bitmap of 128 bits, in which each token turns one over: two sets differ in as many tokens as their bitmaps do in bits, or in more."""
+    mine = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), x)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(mine(x)))
+
+
+def _marks(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, first, p0, p1: the earliest line and the bitmap of each of `ids`; nulls where sets share the id by chance, which then pass every filter."""
+    some = _among(sets, ids).select("id", "d1", "d2", F.struct(*KEY).alias("key"), *[parity(F.col("tokens"), i).alias(f"p{i}") for i in (0, 1)])
+    ones = some.groupBy("id").agg(F.min("key").alias("key"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)], F.min("p0").alias("p0"), F.min("p1").alias("p1"))
+    one = (F.col("min_d1") == F.col("max_d1")) & (F.col("min_d2") == F.col("max_d2"))
+    return ones.select("id", *[F.when(one, F.col(c)).alias(name) for c, name in (("key", "first"), ("p0", "p0"), ("p1", "p1"))])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """d1, d2, id of the later set of each pair (a, b) of ids that is alike. Only sets that pass the filter on ids are shuffled."""
     pairs = stage(pairs, "line-pairs")
@@ -122,7 +136,8 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Earlier is by doc_id, then the text's hash, then the line number, over the whole table; matched lines count too. Lines with the same
     tokens in the same order, or in any order if there are fewer than four, collapse to the first one. Sets that are alike share a token among the rarest of each (prefix), which have
     similar sizes (length) and enough tokens left behind the shared one (position). Of each token's sets, all first meet one head, which
-    settles groups of near copies at a row per set; only sets still without a match meet the others.
+    settles groups of near copies at a row per set; only sets still without a match meet the others, and of these only
+    the earlier ones whose bitmaps (`parity`) differ in no more bits than the sets may differ in tokens.
     """
     sets = stage(line_sets(docs, id_col, text_col), "line-sets")
     ranked = sets.select(*KEY, "d1", "d2", "n", prefix(F.col("tokens"), F.col("n"), rarity(sets)).alias("prefix"))
@@ -138,15 +153,19 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     settled = stage(_verified(met.where(F.col("id") != F.col("head")).where(_near_in_size(F.col("id"), F.col("head"))).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), sets), "line-settled")
     shared = firsts.groupBy(set_id(F.col("d1"), F.col("n")).alias("id")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")  # next to never
-    open_ = met.join(settled.select("id").distinct().join(shared, "id", "left_anti"), "id", "left_anti")
+    marked = met.join(stage(_marks(sets, met.select("id").distinct()), "line-marks"), "id")
+    open_ = marked.join(settled.select("id").distinct().join(shared, "id", "left_anti"), "id", "left_anti")
 
     def side(df, name):
-        return df.select("token", F.col("id").alias(name), F.col("id").bitwiseAND(F.lit(SIZE)).alias(f"{name}_n"), F.col("pos").alias(f"{name}_pos"))
+        return df.select("token", F.col("id").alias(name), F.col("id").bitwiseAND(F.lit(SIZE)).alias(f"{name}_n"), *[F.col(c).alias(f"{name}_{c}") for c in ("pos", "first", "p0", "p1")])
 
-    pairs = side(open_, "a").join(side(met, "b"), "token").where("a <> b")
+    pairs = side(open_, "a").join(side(marked, "b"), "token").where("a <> b")
+    pairs = pairs.where(F.coalesce(F.col("a_first") > F.col("b_first"), F.lit(True)))  # what b matches later on, it matches as an open set itself
     pairs = pairs.where(_near_in_size(F.col("a"), F.col("b")))
     most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     huge = (F.col("a_n") == SIZE) | (F.col("b_n") == SIZE)
+    unlike = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))) + F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1")))
+    pairs = pairs.where(huge | F.coalesce((OVER + UNDER) * unlike <= (UNDER - OVER) * (F.col("a_n") + F.col("b_n")), F.lit(True)))
     pairs = pairs.where(huge | _alike(most, F.col("a_n"), F.col("b_n"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     gone = stage(settled.union(_verified(pairs, sets)).select("d1", "d2").distinct(), "line-gone")
 

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,6 +250,23 @@ def test_line_dedup_near_copies_without_the_head(spark):
     assert sorted((r.doc_id, r.text, r.n) for r in found) == sorted(brute.without_repeats(rows))
 
 
+def test_line_dedup_verifies_no_pairs_of_lines_that_only_share_rare_words(spark, monkeypatch):
+    """720 lines of three blocks of words each, out of ten: thousands of pairs share a rare token, next to none is compared token by token."""
+    blocks = [" ".join(f"w{i}x{j}" for j in range(6)) for i in range(10)]
+    rows = [(i, " ".join(three)) for i, three in enumerate(permutations(blocks, 3))]
+    near = "only " + rows[7][1]
+    pairs, verified = [], lines._verified
+
+    def counted(some, sets):
+        pairs.append(some.count())
+        return verified(some, sets)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    found = lines.repeated(spark.createDataFrame([*rows, (900, near), (901, near + " last")], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [900, 901]
+    assert len(pairs) == 2 and pairs[1] < 50
+
+
 def test_line_dedup_keeps_short_lines_whose_hashes_agree(spark):
     """Among 300 000 different lines of two words some ten agree in 32 bits; none may go."""
     pairs = spark.range(300_000).select(F.concat(F.lit("left"), "id").alias("a"), F.concat(F.lit("right"), "id").alias("b"))
