@@ -22,6 +22,17 @@ def put(spark, path, data, batch, **more):
     return tables.merged(spark.createDataFrame(data, "id long, v string, deleted boolean"), path, SCHEMA, ["id"], batch, buckets=8, **more)
 
 
+def test_a_replay_rewrites_no_bucket_it_changes_nothing_in(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files = lambda: {f.name for f in (tmp_path / "t").rglob("*.parquet")}
+    put(spark, path, [(i, "a", False) for i in range(40)], 0)
+    put(spark, path, [(i, "b", False) for i in range(20)], 1)
+    before, kept = files(), rows(spark, path)
+    assert put(spark, path, [(i, "x", False) for i in range(20)], 1) == [] and files() == before and rows(spark, path) == kept
+    touched = put(spark, path, [*[(i, "x", False) for i in range(20)], (500, "late", False)], 1)  # the rest of a batch that failed half-way
+    assert len(touched) == 1 and sorted(rows(spark, path)) == sorted([*kept, (500, "late")])
+
+
 def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     path = str(tmp_path / "t")
     assert rows(spark, path) == [] and put(spark, path, [], 0) == []
