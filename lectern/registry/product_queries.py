@@ -253,7 +253,8 @@ def page_keys(spark, sf):
 
 @query("json_repair", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind FROM events""")
 def json_repair(spark, sf):
-    ev = spread(b.table(spark, sf, "events").select("event_id", "event_type", "props"))
+    ev = b.table(spark, sf, "events").select("event_id", "event_type", "props")
+    ev = ev.repartition(4 * spark.sparkContext.defaultParallelism)  # small rows make long texts, and a split of a file may hold no rows
     deep = '{"a":' * 10 + '"}{ \\\\ \\" }"' + "}" * 10
     note = F.concat(F.lit("a } b "), F.lit('{x\\" ' * 5), F.repeat(F.lit("word "), 1500))  # long, with escapes
     body = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', “kind”: {"name": "'), F.col("event_type"), F.lit('", "deep": ' + deep + ', "note": "'), note, F.lit('",},}'))
